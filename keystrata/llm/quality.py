@@ -40,7 +40,7 @@ def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for s in SYMBOLS:
         bare = F.replace(bare, F.lit(s), F.lit(""))
     n = F.size("_q_words")
-    windows = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_q_words", i, WINDOW))))
+    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_q_words", i, WINDOW))))
     df = df.withColumns(
         {
             "_q_lines": F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
@@ -67,6 +67,13 @@ def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed).drop("_q_windows", "_q_sorted", "_q_places")
 
 
+def _where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns where they stand. A plain filter would be pushed below them with their
+    definitions put in, nested array functions included, and evaluate those once for each element; a
+    column that isn't deterministic holds it back."""
+    return df.withColumn("_q_row", F.monotonically_increasing_id()).where(condition & (F.col("_q_row") >= 0)).drop("_q_row")
+
+
 def rules() -> dict[str, Column]:
     """Name to rejection, over the columns of ``figures``. Never null."""
     n = F.col("n_words")
@@ -82,7 +89,7 @@ def rules() -> dict[str, Column]:
 
 def cascade_order(marked: DataFrame, sample: int = SAMPLE) -> list[str]:
     """Rule names by rejections per second on the first ``sample`` rows that the base rule keeps."""
-    held = marked.where(~F.col("base_failed")).select("n_words", "word_chars", "n_symbols", "n_dup_lines", "_q_text", "_q_words", "_q_lines").limit(sample).persist()
+    held = _where(marked, ~F.col("base_failed")).select("n_words", "word_chars", "n_symbols", "n_dup_lines", "_q_text", "_q_words", "_q_lines").limit(sample).persist()
     try:
         total = max(1, held.count())
         yields = {}
@@ -103,3 +110,8 @@ def judge(docs: DataFrame, text_col: str = "text", order: list[str] | None = Non
     for name in order or cascade_order(marked):
         verdict = verdict.when(by_name[name], F.lit(False))
     return marked.withColumn("kept", verdict.otherwise(F.lit(True))).drop("_q_text", "_q_words", "_q_lines")
+
+
+def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, with the columns of ``docs``."""
+    return _where(judge(docs.select("*", F.struct(*docs.columns).alias("_q_own")), text_col), F.col("kept")).select("_q_own.*") if set(_ADDED) & set(docs.columns) else _where(judge(docs, text_col), F.col("kept")).select(docs.columns)
