@@ -38,7 +38,7 @@ from ._spark import checkpoint, parallelism, ship
 from .byte_bpe import BYTE_LEVEL, MAX_PIECES, PIECE_CHARS, splitter
 from .token_counts import byte_alphabet
 
-GROUPS = 96
+GROUPS = 1024
 #: Lengths up to this share of the capacity are small.
 SMALL = 1 / 8
 
