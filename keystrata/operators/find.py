@@ -19,7 +19,10 @@ from .joins import JoinSpec, apply_joins
 GLOBAL_LIMIT = 100_000
 #: Excluded keys beyond this number are anti-joined instead of listed in the filter.
 EXCLUDED_IN_FILTER = 200
-FIRST_PAGE: dict = {}
+#: As a limit: every row, sorted only if asked; a result that stays distributed.
+ALL = "all"
+#: Pages up to this many rows are a top-k; larger ones are sorted in parallel and then cut.
+TOP_K = 1_000_000
 
 
 def names(fields: str | Iterable[str] | None) -> list[str] | None:
@@ -61,7 +64,7 @@ def project(table: Table, df: DataFrame, fields: str | Iterable[str] | None, key
     return df.select(*columns)
 
 
-def page_size(limit: int | None) -> int:
+def page_size(limit: int | str | None) -> int:
     return int(limit) if limit and int(limit) > 0 else GLOBAL_LIMIT
 
 
@@ -95,15 +98,20 @@ def find(
     rows that are left after filters and inner joins."""
     df = where(table, criteria, excluded, lenient)
     if joins:
-        return apply_joins(table, df, joins, names(fields), lambda d: _page(d, _order(table, order_by, order), offset, limit))
-    return project(table, _page(df, _order(table, order_by, order), offset, limit), fields)
+        return apply_joins(table, df, joins, names(fields), lambda d: _page(d, _order(table, order_by, order), offset, limit, bool(order_by)))
+    return project(table, _page(df, _order(table, order_by, order), offset, limit, bool(order_by)), fields)
 
 
-def _page(df: DataFrame, order: list[Column], offset: int, limit: int | None) -> DataFrame:
+def _page(df: DataFrame, order: list[Column], offset: int, limit: int | str | None, sort: bool = True) -> DataFrame:
+    if limit == ALL and not offset:
+        return df.orderBy(*order) if sort else df
+    size = page_size(None if limit == ALL else limit)
+    if size > TOP_K:
+        df.sparkSession.conf.set("spark.sql.execution.topKSortFallbackThreshold", str(TOP_K))
     df = df.orderBy(*order)
     if offset:
         df = df.offset(int(offset))
-    return df.limit(page_size(limit))
+    return df if limit == ALL else df.limit(size)
 
 
 def count(table: Table, criteria: Any = None, lenient: bool = False) -> DataFrame:
