@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .access import Access
 from .operators import aggregate as A
 from .operators import find as Q
 from .operators.joins import JoinSpec
@@ -34,8 +35,10 @@ def as_list(x: Any) -> list:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, guarded: bool = False):
+        """``guarded``: requests need a token or a trusted address."""
         self.spark, self.catalog = spark, Catalog(spark, root)
+        self.access, self.guarded = Access(self.catalog.files), guarded
         self.writer, self.schemas, self.blobs = Writer(self.catalog), SchemaOps(self.catalog), Blobs(self.catalog)
         self.started, self.served, self.slow = time.time(), Counter(), []
 
@@ -71,7 +74,7 @@ class Engine:
 
     # responses
 
-    def request(self, r: dict | str) -> Any:
+    def request(self, r: dict | str, ip: str | None = None) -> Any:
         """The response as JSON values, or text for CSV; errors are ``{"error": ...}``."""
         began = time.time()
         try:
@@ -80,6 +83,8 @@ class Engine:
             handler = getattr(self, "_" + str(r.get("mode", "")).replace("-", "_"), None)
             if handler is None or not r.get("mode"):
                 raise RequestError(f"unknown mode: {r.get('mode')}")
+            if self.guarded:
+                self.access.check(r, ip)
             self.served[r["mode"]] += 1
             return self._timed(handler, r)
         except Timeout as e:
@@ -300,9 +305,29 @@ class Engine:
         return {"status": "dir_added", "dir": r["dir"]}
 
     def _remove_dir(self, r: dict) -> dict:
-        self.catalog.remove_dir(r["dir"], bool(r.get("check_empty")))
+        self.catalog.remove_dir(r["dir"], bool(r.get("check_empty", True)))
         return {"status": "dir_removed", "dir": r["dir"]}
 
+    # access
+
+    def _add_token(self, r: dict) -> dict:
+        return self.access.add_token(r.get("token") or "", r.get("dir"), r.get("object"), r.get("perm") or "rw")
+
+    def _remove_token(self, r: dict) -> dict:
+        return self.access.remove_token(r.get("token"), r.get("fingerprint"))
+
+    def _list_tokens(self, r: dict) -> list:
+        return self.access.tokens()
+
+    def _add_ip(self, r: dict) -> list:
+        return self.access.ips(add=r["ip"])
+
+    def _remove_ip(self, r: dict) -> list:
+        return self.access.ips(remove=r["ip"])
+
+    def _list_ips(self, r: dict) -> list:
+        return self.access.ips()
+
     # diagnostics
 
     def _stats(self, r: dict) -> dict:
