@@ -83,6 +83,7 @@ def rules() -> dict[str, Column]:
         "word length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 12 * n),
         "repeated lines": F.col("n_dup_lines") * 2 > F.size("_q_lines"),
         "letters": F.size(F.filter("_q_words", lambda w: w.rlike(r"\p{L}"))) * 2 < n,
+        "stuttering": F.size(F.filter("_q_words", lambda w, i: (i > 0) & (w == F.get("_q_words", i - 1)))) * 3 > n,
         "distinct words": (n >= 50) & (F.size(F.array_distinct("_q_words")) * 20 < n),
     }
 

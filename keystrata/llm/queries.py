@@ -123,7 +123,7 @@ f AS (
 b AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR n_symbols * 10 > n_words OR n_words < 5 * bangs OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR n_dup_lines * 2 > len(lines)
-    OR len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) * 2 < n_words OR (n_words >= 50 AND len(list_distinct(w)) * 20 < n_words)) AS kept
+    OR len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) * 2 < n_words OR len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) * 3 > n_words OR (n_words >= 50 AND len(list_distinct(w)) * 20 < n_words)) AS kept
 FROM b"""
 
 _OP10 = """

@@ -113,7 +113,7 @@ def brute_quality(t):
 
 TEXTS = [
     None, "", " \n\t", "one two three", "a b c d e f g h " * 9, "word " * 8, "x " * 400, "é ß x 日本 " * 12, "# * $ % & | < > " * 5 + "plain words here", "line\nline\n\nline \n  \nline", " lead\x0bing and\x0ctrail\ring ",
-    " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i % 50}" for i in range(140)), "\n".join(["the same line of some words"] * 3 + [f"other {i} words" for i in range(30)]), "long" * 30000 + " " + " ".join(f"v{i}" for i in range(20000)), "STOP!! NOW!! " * 15,
+    " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i % 50}" for i in range(140)), "\n".join(["the same line of some words"] * 3 + [f"other {i} words" for i in range(30)]), "long" * 30000 + " " + " ".join(f"v{i}" for i in range(20000)), "STOP!! NOW!! " * 15, "this this this this that that that that of of of of in in in in on on on on at at at at by by by by",
 ]
 
 
@@ -131,7 +131,7 @@ def test_quality_verdict_ignores_the_order(frame):
     rows = list(enumerate(TEXTS))
     names = list(quality.rules())
     verdicts = [sorted((r.doc_id, r.kept) for r in quality.judge(frame(rows), order=o).collect()) for o in (names, names[::-1])]
-    assert verdicts[0] == verdicts[1] and dict(verdicts[0])[11] and not dict(verdicts[0])[15]
+    assert verdicts[0] == verdicts[1] and dict(verdicts[0])[11] and not dict(verdicts[0])[15] and not dict(verdicts[0])[16]
     marked = quality.figures(frame(rows))
     assert sorted(quality.cascade_order(marked)) == sorted(names)
     df = frame(rows, extra=True)
