@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -34,10 +35,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that the session names.
 
     A folder is set here only where the session has none (tests, local runs)."""
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints_"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cleaner remove shuffle files that nothing refers to any more; it acts on the driver's
+    garbage collection, which may otherwise come long after a checkpoint has made them useless."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
