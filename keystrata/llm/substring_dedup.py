@@ -36,7 +36,7 @@ from . import _text as X
 from ._spark import checkpoint, parallelism, rekeyed, replace_columns, ship, with_fields
 
 PREFIX = 8
-GROUP = 512
+GROUP = 4096
 #: Symbols of one in-memory subtree batch.
 TREE_SYMBOLS = 1 << 20
 
@@ -269,9 +269,10 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
     slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     known = slim.where(F.col("d").isNotNull())
     anchors = known.mapInArrow(lambda it: _anchors(it, min_words), "p long, c long, d long")
-    contexts = anchors.groupBy("p", "c").agg(F.min("d").alias("least"), F.max("d").alias("most"))
+    contexts = checkpoint(anchors.groupBy("p", "c").agg(F.min("d").alias("least"), F.max("d").alias("most")))
     prefixes = contexts.groupBy("p").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("p", "n")
-    shared = checkpoint(contexts.join(rekeyed(prefixes, "p"), "p").where("most is not null").select("p", "c", "least", "n"))
+    shared = checkpoint(contexts.join(rekeyed(prefixes, "p"), "p").select("p", "c", "least", "n"))
+    del contexts, prefixes  # with the last reference their files go
 
     wanted = shared.where("n > 1").groupBy("least").agg(F.collect_list(F.struct("p", "c", "n")).alias("want"))
     pieces = checkpoint(
