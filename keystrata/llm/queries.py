@@ -20,7 +20,10 @@ def _vocabulary(name: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *(columns or ("text",)))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *(columns or ("text",)))
+    cores = spark.sparkContext.defaultParallelism
+    # a table of fewer splits than cores (one small file) is dealt out, or one task would do all the work
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
