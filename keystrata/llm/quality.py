@@ -88,9 +88,13 @@ def rules() -> dict[str, Column]:
     }
 
 
-def cascade_order(marked: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """Rule names by rejections per second on the first ``sample`` rows that the base rule keeps."""
-    held = _where(marked, ~F.col("base_failed")).select("n_words", "word_chars", "n_symbols", "n_dup_lines", "_q_text", "_q_words", "_q_lines").limit(sample).persist()
+def cascade_order(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> list[str]:
+    """Rule names by rejections per second on ``sample`` rows of ``docs`` (those of them that the base rule
+    keeps). The rows are taken from as few partitions as hold so many; a limit inside the plan would have
+    every partition compute that many."""
+    rows = docs.select(F.col(text_col).alias("t")).limit(sample).collect()
+    marked = figures(docs.sparkSession.createDataFrame(rows, "t string"), "t")
+    held = _where(marked, ~F.col("base_failed")).persist()
     try:
         total = max(1, held.count())
         yields = {}
@@ -108,7 +112,7 @@ def judge(docs: DataFrame, text_col: str = "text", order: list[str] | None = Non
     marked = figures(docs, text_col)
     by_name = rules()
     verdict = F.when(F.col("base_failed"), F.lit(False))
-    for name in order or cascade_order(marked):
+    for name in order or cascade_order(docs, text_col):
         verdict = verdict.when(by_name[name], F.lit(False))
     return marked.withColumn("kept", verdict.otherwise(F.lit(True))).drop("_q_text", "_q_words", "_q_lines")
 

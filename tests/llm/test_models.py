@@ -132,8 +132,7 @@ def test_quality_verdict_ignores_the_order(frame):
     names = list(quality.rules())
     verdicts = [sorted((r.doc_id, r.kept) for r in quality.judge(frame(rows), order=o).collect()) for o in (names, names[::-1])]
     assert verdicts[0] == verdicts[1] and dict(verdicts[0])[11] and not dict(verdicts[0])[15] and not dict(verdicts[0])[16]
-    marked = quality.figures(frame(rows))
-    assert sorted(quality.cascade_order(marked)) == sorted(names)
+    assert sorted(quality.cascade_order(frame(rows))) == sorted(names)
     df = frame(rows, extra=True)
     kept = quality.keep(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, k in verdicts[0] if k}
