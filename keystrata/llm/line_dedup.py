@@ -8,6 +8,11 @@ every anchor that they share has gone already. Aligned blocks that hold an ancho
 from the later document, short lines and blank ones inside the block included. The first holder of
 a line never loses it, for no earlier document has it to align with.
 
+With ``further``, anchors that the first holders leave are carried on: the document is aligned with
+the second holder of each such line, then the third and so on, until the line goes or no earlier holder
+is left (of one rank, in the order of ids). Only the lines that stay write such links, and only as far
+as they stay.
+
 Defined results
 ---------------
 * Lines are what ``\\n`` separates, compared byte by byte.
@@ -23,6 +28,7 @@ import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,8 @@ from . import _text as X
 from ._spark import checkpoint, rekeyed, replace_columns, ship, with_fields
 
 MIN_BYTES = 20
+#: Further holders of a line that a document meets at once, at most.
+FURTHER = 64
 
 
 class Lines:
@@ -60,26 +68,32 @@ class Lines:
         self.anchor = (self.ends - self.starts >= min_bytes) & (solid[self.ends] > solid[self.starts])
 
 
-def _shared(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Anchor lines: (hash, id), once a document."""
+def _sequences(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+    """All line hashes of each document, packed, and which of them are anchors."""
     for batch in batches:
-        ids, known = X.ids_of(batch.column(0))
-        for a, _, data, bounds in X.chunks(batch.column(1)):
+        for a, b, data, bounds in X.chunks(batch.column(2)):
             lines = Lines(data, bounds, min_bytes)
-            use = lines.anchor & known[lines.text + a]
-            d, h = ids[lines.text[use] + a], lines.hashes[use].view(np.int64)
-            if len(h):
-                pair = np.unique(np.stack([d, h], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 1])), pa.array(np.ascontiguousarray(pair[:, 0]))], names=["h", "d"])
+            packed = [lines.hashes[i:j].tobytes() for i, j in X.slices(lines.first)]
+            can = [np.packbits(lines.anchor[i:j]).tobytes() for i, j in X.slices(lines.first)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(packed, pa.binary()), pa.array(can, pa.binary())], names=["d", "k", "lines", "can"])
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """All line hashes of each document, packed."""
+def _unpacked(lines: bytes, *bits: bytes) -> list:
+    own = np.frombuffer(lines, np.uint64)
+    return [own.tolist(), *(np.unpackbits(np.frombuffer(x, np.uint8), count=len(own)).astype(bool).tolist() for x in bits)]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchor lines: (hash, id), once a document."""
     for batch in batches:
-        for a, b, data, bounds in X.chunks(batch.column(1)):
-            lines = Lines(data, bounds, min_bytes)
-            packed = [lines.hashes[i:j].tobytes() for i, j in X.slices(lines.first)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(packed, pa.binary())], names=["e", "lines"])
+        if not batch.num_rows:
+            continue
+        found = []
+        for lines, can in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
+            own = np.frombuffer(lines, np.int64)
+            found.append(np.unique(own[np.unpackbits(np.frombuffer(can, np.uint8), count=len(own)).astype(bool)]))
+        d = np.repeat(np.asarray(batch.column(0)), [len(x) for x in found])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(d)], names=["h", "d"])
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -121,6 +135,20 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def align(own: list[int], anchor: list[bool], gone: list[bool], other: list[int]) -> None:
+    """Mark as gone the aligned blocks of a document and one partner that hold an anchor."""
+    block: list[int] = []
+    before = None
+    for x, y in [*patience(own, other), (-1, -1)]:
+        if before is not None and (x, y) != (before[0] + 1, before[1] + 1):
+            if any(anchor[i] for i in block):
+                for i in block:
+                    gone[i] = True
+            block = []
+        block.append(x)
+        before = x, y
+
+
 def aligned_blocks(own: list[int], anchor: list[bool], partners: list[list[int]]) -> list[bool]:
     """Which of a document's lines go, given its partners' lines in order."""
     gone = [False] * len(own)
@@ -128,22 +156,97 @@ def aligned_blocks(own: list[int], anchor: list[bool], partners: list[list[int]]
         there = set(other)
         if all(gone[i] or not anchor[i] or x not in there for i, x in enumerate(own)):
             continue
-        block: list[int] = []
-        before = None
-        for x, y in [*patience(own, other), (-1, -1)]:
-            if before is not None and (x, y) != (before[0] + 1, before[1] + 1):
-                if any(anchor[i] for i in block):
-                    for i in block:
-                        gone[i] = True
-                block = []
-            block.append(x)
-            before = x, y
+        align(own, anchor, gone, other)
     return gone
 
 
+_STATE = "d long, k long, lines binary, can binary, gone binary, removed int, stay array<long>"
+
+
+def _state(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"d": pa.int64(), "k": pa.int64(), "lines": pa.binary(), "can": pa.binary(), "gone": pa.binary(), "removed": pa.int32(), "stay": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+
+def _stay(own: list[int], anchor: list[bool], gone: list[bool], among: set[int]) -> list[int]:
+    left = {x for i, x in enumerate(own) if anchor[i] and not gone[i] and x in among}
+    return np.array(sorted(left), np.uint64).view(np.int64).tolist()
+
+
+def _align_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents aligned with the first holders; ``stay`` has the anchors that are left though an earlier document holds them."""
+    for batch in batches:
+        out = []
+        for d, k, lines, can, links in zip(*(batch.column(i) for i in range(5))):
+            own, anchor = _unpacked(lines.as_py(), can.as_py())
+            found = links.values
+            order = sorted(zip(found.field(0).to_pylist(), found.field(1).to_pylist(), found.field(2)), key=lambda x: x[:2])
+            partners = [np.frombuffer(x[2].as_py(), np.uint64).tolist() for x in order]
+            gone = aligned_blocks(own, anchor, partners)
+            stay = _stay(own, anchor, gone, set().union(*partners))
+            out.append((d.as_py(), k.as_py(), lines.as_py(), can.as_py(), np.packbits(gone).tobytes(), sum(gone), stay))
+        yield _state(out)
+
+
+def _align_further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents aligned with further holders, by rank and id, each only while a line that led to it is left."""
+    for batch in batches:
+        out = []
+        for d, k, lines, can, mask, stay, links in zip(*(batch.column(i) for i in range(7))):
+            own, anchor, gone = _unpacked(lines.as_py(), can.as_py(), mask.as_py())
+            among = set(np.array(stay.as_py(), np.int64).view(np.uint64).tolist())
+            steps: dict[tuple[int, int], set[int]] = {}
+            other = {}
+            for link in links.as_py():
+                other[link["e"]] = link["lines"]
+                for x in link["by"]:
+                    steps.setdefault((x["r"], link["e"]), set()).add(x["h"] % (1 << 64))
+            for (_, e), by in sorted(steps.items()):
+                if any(x in by and not gone[i] for i, x in enumerate(own)):
+                    align(own, anchor, gone, np.frombuffer(other[e], np.uint64).tolist())
+            out.append((d.as_py(), k.as_py(), lines.as_py(), can.as_py(), np.packbits(gone).tobytes(), sum(gone), _stay(own, anchor, gone, among)))
+        yield _state(out)
+
+
+def _ranked(lines: DataFrame) -> DataFrame:
+    """(h, e, r): the holders of each line and their rank from 0, by one distributed sort, so that a hot line's
+    holders are never in one place."""
+    placed = checkpoint(lines.orderBy("h", "d").withColumn("i", F.monotonically_increasing_id()))
+    part = F.shiftright("i", 33)
+    before, offsets = 0, []
+    for p, n in sorted(tuple(r) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect()):  # a row for each partition
+        offsets.append((p, before))
+        before += n
+    begin = lines.sparkSession.createDataFrame(offsets, "p long, before long")
+    at = placed.withColumn("p", part).join(F.broadcast(begin), "p").select("h", F.col("d").alias("e"), (F.col("before") + F.col("i") - F.shiftleft("p", 33)).alias("at"))
+    first = at.groupBy("h").agg(F.min("at").alias("first"))
+    return at.join(rekeyed(first, "h"), "h").select("h", "e", (F.col("at") - F.col("first")).alias("r"))
+
+
+def _further(state: DataFrame, lines: DataFrame, partners: DataFrame) -> list[DataFrame]:
+    """States of the documents that the further holders change, each document once."""
+    left = state.where(F.size("stay") > 0)
+    wanted = left.select(F.explode("stay").alias("h")).groupBy("h").agg(F.lit(1).alias("one")).drop("one")
+    ranked = checkpoint(_ranked(rekeyed(lines.join(rekeyed(wanted, "h"), "h"), "h").distinct()))
+    own = ranked.select(F.col("h"), F.col("e").alias("d"), F.col("r").alias("n"))
+    done, lo, width = [], 1, 1
+    while True:
+        # of each line that stays, the holders of rank lo and on; n of them are earlier than the document
+        open_ = checkpoint(left.select("d", "k", F.explode("stay").alias("h")).join(own, ["h", "d"]).where(F.col("n") > lo))
+        active = open_.select("d", "k").distinct()
+        done.append(left.join(active, ["d", "k"], "left_anti"))
+        if open_.isEmpty():
+            return done
+        steps = open_.withColumn("r", F.explode(F.sequence(F.lit(lo).cast("long"), F.least(F.col("n"), F.lit(lo + width)) - 1)))
+        by = steps.join(ranked, ["h", "r"]).groupBy("d", "k", "e").agg(F.collect_list(F.struct("r", "h")).alias("by"))
+        links = by.join(rekeyed(partners, "e"), "e").groupBy("d", "k").agg(F.collect_list(F.struct("e", "by", "lines")).alias("links"))
+        left = checkpoint(left.join(links, ["d", "k"]).select("d", "k", "lines", "can", "gone", "stay", "links").mapInArrow(_align_further, _STATE))
+        lo, width = lo + width, min(4 * width, FURTHER)
+
+
 def _delete(batches: Iterator[pa.RecordBatch], min_bytes: int, text_at: int, text: str, names: list[str], keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        links = batch.column(batch.schema.get_field_index("_ld_links"))
+        masks = batch.column(batch.schema.get_field_index("_ld_gone")).to_pylist()
         column = batch.column(text_at)
         n_lines, n_removed, digest, kept = [], [], [], []
         for a, b, data, bounds in X.chunks(column):
@@ -152,11 +255,7 @@ def _delete(batches: Iterator[pa.RecordBatch], min_bytes: int, text_at: int, tex
             for row, (i, j) in enumerate(X.slices(lines.first), a):
                 n_lines.append(j - i)
                 whole = raw[bounds[row - a] : bounds[row - a + 1]]
-                gone: list[bool] = []
-                if links[row].is_valid:
-                    found = links[row].values
-                    order = sorted(zip(found.field(0).to_pylist(), found.field(1).to_pylist(), found.field(2)), key=lambda x: x[:2])
-                    gone = aligned_blocks(lines.hashes[i:j].tolist(), lines.anchor[i:j].tolist(), [np.frombuffer(x[2].as_py(), np.uint64).tolist() for x in order])
+                gone = [] if masks[row] is None else np.unpackbits(np.frombuffer(masks[row], np.uint8), count=j - i).tolist()
                 n_removed.append(sum(gone))
                 if n_removed[-1]:
                     whole = b"\n".join([x for x, g in zip(whole.split(b"\n"), gone) if not g])
@@ -169,22 +268,30 @@ def _delete(batches: Iterator[pa.RecordBatch], min_bytes: int, text_at: int, tex
         yield replace_columns(batch, names, **new)
 
 
-def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` without the lines that align with an earlier document.
+def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, further: bool = False) -> DataFrame:
+    """``docs`` without the lines that align with an earlier document: the first holder of each line, or any with ``further``.
 
     Adds n_lines, n_lines_removed and lines_sha256 (of the text that is left); ``text_col`` holds that
     text, or is dropped with ``keep_text=False``."""
     ship(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    known = slim.where(F.col("d").isNotNull())
-    lines = known.mapInArrow(lambda it: _shared(it, min_bytes), "h long, d long")
+    ident, print_ = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))  # rows of one id are told apart by their texts
+    known = docs.select(ident.alias("d"), print_.alias("k"), F.col(text_col).alias("t")).where(F.col("d").isNotNull())
+    sequences = known.mapInArrow(lambda it: _sequences(it, min_bytes), "d long, k long, lines binary, can binary").where(F.length("lines") > 0)
+    sequences = checkpoint(sequences.groupBy("d", "k").agg(F.max("lines").alias("lines"), F.max("can").alias("can")))
+    partners = sequences.groupBy(F.col("d").alias("e")).agg(F.max("lines").alias("lines"))
+    lines = sequences.select("d", "lines", "can").mapInArrow(_shared, "h long, d long")
     holders = lines.groupBy("h").agg(F.min("d").alias("e"), F.count(F.lit(1)).alias("df")).where("df > 1")
     pairs = checkpoint(lines.join(rekeyed(holders, "h"), "h").where("e < d").groupBy("d", "e").agg(F.min("df").alias("df")))
-    sequences = known.mapInArrow(lambda it: _sequences(it, min_bytes), "e long, lines binary").groupBy("e").agg(F.max("lines").alias("lines"))
-    links = pairs.join(rekeyed(sequences, "e"), "e").groupBy("d").agg(F.collect_list(F.struct("df", "e", "lines")).alias("_ld_links")).withColumnRenamed("d", "_ld_key")
+    links = pairs.join(rekeyed(partners, "e"), "e").groupBy("d").agg(F.collect_list(F.struct("df", "e", "lines")).alias("links"))
+    state = checkpoint(sequences.join(links, "d").select("d", "k", "lines", "can", "links").mapInArrow(_align_first, _STATE))
+    states = [state]
+    if further and not state.where(F.size("stay") > 0).isEmpty():
+        states = [state.where(F.size("stay") == 0), *_further(state, lines, partners)]
+    masks = reduce(DataFrame.unionByName, [s.where("removed > 0").select(F.col("d").alias("_ld_key"), F.col("k").alias("_ld_print"), F.col("gone").alias("_ld_gone")) for s in states])
     added = {"n_lines": T.LongType(), "n_lines_removed": T.LongType(), "lines_sha256": T.StringType()}
     base = docs.drop(*[c for c in added if c in docs.columns])
-    joined = base.withColumn("_ld_id", F.col(id_col).cast("long")).join(links, F.col("_ld_id") == F.col("_ld_key"), "left").drop("_ld_key", "_ld_id")
+    marked = base.withColumns({"_ld_id": ident, "_ld_own": print_})
+    joined = marked.join(masks, (F.col("_ld_id") == F.col("_ld_key")) & (F.col("_ld_own") == F.col("_ld_print")), "left").drop("_ld_key", "_ld_print", "_ld_id", "_ld_own")
     text_at = joined.columns.index(text_col)
     schema = with_fields(T.StructType([f for f in base.schema.fields if keep_text or f.name != text_col]), *added.items())
     names = schema.names

@@ -42,7 +42,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_documents(spark, sf_dir), keep_text=False)
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir), keep_text=False, further=True)
     return out.select("doc_id", "n_lines", F.col("n_lines_removed").alias("n_removed"), F.col("lines_sha256").alias("kept_sha256"))
 
 

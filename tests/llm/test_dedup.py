@@ -186,6 +186,62 @@ def test_lines_edges(frame):
     assert line_dedup.dedup_lines(frame([])).count() == 0
 
 
+def brute_further(rows, least):
+    """Lines that go when the first holders' leavings are aligned with the holders of rank 1, 2, ..."""
+    can = lambda x: len(x.encode()) >= least and bool(words(x))
+    by_id = {d: t.split("\n") if t else [] for d, t in rows}
+    holders = defaultdict(list)
+    for d in sorted(by_id):
+        for x in {x for x in by_id[d] if can(x)}:
+            holders[x].append(d)
+    out = {}
+    for d, ls in by_id.items():
+        gone = set()
+
+        def cut(e, ls=ls, gone=gone):
+            pairs, block = lcs_blocks(ls, by_id[e]), []
+            for k, (x, y) in enumerate(pairs):
+                block.append(x)
+                if k + 1 == len(pairs) or pairs[k + 1] != (x + 1, y + 1):
+                    if any(can(ls[i]) for i in block):
+                        gone.update(block)
+                    block = []
+
+        rare = {}
+        for x in ls:
+            if can(x) and holders[x][0] < d:
+                rare[holders[x][0]] = min(rare.get(holders[x][0], 1 << 60), len(holders[x]))
+        for _, e in sorted((n, e) for e, n in rare.items()):
+            if any(i not in gone and can(x) and x in by_id[e] for i, x in enumerate(ls)):
+                cut(e)
+        for r in range(1, len(by_id)):
+            at = defaultdict(set)
+            for i, x in enumerate(ls):
+                if i not in gone and can(x) and len(holders[x]) > r and holders[x][r] < d:
+                    at[holders[x][r]].add(x)
+            for e in sorted(at):
+                if any(i not in gone and x in at[e] for i, x in enumerate(ls)):
+                    cut(e)
+        out[d] = (len(ls), len(gone), sha("\n".join(x for i, x in enumerate(ls) if i not in gone)))
+    return out
+
+
+def test_lines_of_further_holders(frame, monkeypatch):
+    """The first holder has the line twice, so that it aligns with the third document's only through the second."""
+    monkeypatch.setattr(line_dedup, "FURTHER", 2)
+    line = "a line of boilerplate that many hold"
+    rows = [(1, f"own a\n{line}\nown b\n{line}\nown c"), (2, f"own d\n{line}\nown e"), (3, f"own f\n{line}\nown g")]
+    got = line_dedup.dedup_lines(frame(rows), further=True).collect()
+    assert {r.doc_id: r.n_lines_removed for r in got} == {1: 0, 2: 0, 3: 1}
+    rng = random.Random(11)
+    pool = [f"line number {i} of the shared pool" for i in range(25)] + ["", "short", "é" * 12]
+    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.6 else f"own line {d} {rng.random()}" for _ in range(rng.randint(0, 12)))) for d in range(120)]
+    got = line_dedup.dedup_lines(frame(rows), further=True).collect()
+    want = brute_further(rows, line_dedup.MIN_BYTES)
+    assert {r.doc_id: (r.n_lines, r.n_lines_removed, r.lines_sha256) for r in got} == want
+    assert sum(w[1] for w in want.values()) > sum(w[1] for w in brute_lines(rows, line_dedup.MIN_BYTES).values())
+
+
 def test_patience_is_aligned():
     rng = random.Random(6)
     for _ in range(200):
