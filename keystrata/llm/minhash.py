@@ -25,7 +25,8 @@ Defined results
 ---------------
 * Fewer words than a shingle: the whole sequence is the one shingle. No words, or null text: an
   empty set, linked with nothing.
-* Rows with one id are one node, so they share a component. Null id: no link; component null, kept.
+* Rows with one id are one node, so they share a component; ``drop_near_duplicates`` keeps the first of them by text
+  (null first). Null id: no link; component null, kept.
 * Other columns pass through; columns of the names added here are replaced.
 """
 
@@ -295,6 +296,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 75, id_c
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component; of rows with one id, the first by text."""
-    own = {c: f"_mh_own_{c}" for c in ("n_shingles", "component_id", "kept") if c in docs.columns}
-    marked = near_duplicates(docs.withColumnsRenamed(own), shingle, threshold, id_col, text_col)
-    return marked.where("kept").drop("n_shingles", "component_id", "kept").withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
+    rows = docs.withColumn("_mh_key", F.col(id_col).cast("long"))
+    marked = near_duplicates(docs.select(id_col, text_col), shingle, threshold, id_col, text_col)
+    kept = marked.where("kept").select(F.col(id_col).cast("long").alias("_mh_kept")).where("_mh_kept is not null").distinct()
+    repeated = checkpoint(rows.where("_mh_key is not null").groupBy("_mh_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_mh_key"))
+    if not repeated.isEmpty():
+        # equal texts: by the other columns, as far as they are plain values
+        plain = [f.name for f in docs.schema.fields if f.name != text_col and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+        several = rekeyed(rows.join(rekeyed(repeated, "_mh_key"), "_mh_key"), "_mh_key").groupBy("_mh_key")
+        first = several.agg(F.min_by(F.struct(*docs.columns), F.struct(text_col, *plain)).alias("_mh_row"))
+        rows = rows.join(repeated, "_mh_key", "left_anti").select(*docs.columns, "_mh_key").unionByName(first.select("_mh_row.*", "_mh_key"))
+    return rows.join(kept, F.col("_mh_key") == F.col("_mh_kept"), "left").where("_mh_key is null or _mh_kept is not null").select(docs.columns)

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import pytest
 
+import corpus_pipeline
 from keystrata.llm import line_dedup, minhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -315,6 +316,16 @@ def test_near_duplicates_edges(frame):
     assert minhash.near_duplicates(frame([])).count() == 0
 
 
+def test_drop_near_duplicates_of_one_id(frame, spark):
+    """Repeated rows and two texts of one id: one row stays, in the operator and in the pipeline's stage."""
+    t, u = " ".join(f"w{i}" for i in range(40)), "entirely other words that stand here"
+    rows = [(5, t), (3, t), (3, t), (3, u), (8, u), (9, "alone one two"), (9, "alone one two"), (10, None), (10, None), (11, "b"), (None, t), (None, t)]
+    want = sorted([(3, u), (9, "alone one two"), (10, None), (11, "b"), (None, t), (None, t)], key=str)
+    for out in (minhash.drop_near_duplicates(frame(rows, extra=True)), corpus_pipeline.near_dedup(spark, frame(rows, extra=True), "")):
+        assert out.columns == frame(rows, extra=True).columns
+        assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == want
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(60)] + [(200, 200)]
