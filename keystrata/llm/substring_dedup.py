@@ -1,4 +1,4 @@
-"""Substring deduplication by prefix-partitioned suffix trees.
+"""Substring deduplication by equal windows, grouped by minimizer (no full suffix tree is built).
 
 Every window of ``min_words`` consecutive words is a suffix cut at that depth. Windows are brought
 together by a prefix that all equal windows share: the smallest of the hashes of the runs of
