@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 MAX_ID = np.iinfo(np.int64).max
@@ -30,30 +31,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Spans of more bytes are hashed one by one.
+LONG = 256
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-
-            def grown(base: int) -> np.ndarray:
-                out = np.full(size, base, np.uint64)
-                out[0] = 1
-                return np.multiply.accumulate(out)
-
-            self.up, self.down = grown(self.base), grown(self.inverse)
-        return self.up, self.down
-
-
-_BYTES, _WORDS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span: eight bytes at a time, every step mixed before the next, so that
+    no algebra of the bytes carries through; long spans by xxHash."""
+    size = ends - starts
+    window = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xA0761D6478BD642F))
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[todo], size[todo]
+    while len(todo):
+        h[todo] = mix(h[todo] ^ (window[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 0x5851F42D)
+    return h
 
 
 @dataclass
@@ -67,13 +64,7 @@ class Words:
     first: np.ndarray
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        n = len(self.data)
-        up, down = _BYTES.get(n + 1)
-        table = (_BYTE[_LOWER] if lower else _BYTE)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[self.data] * up[:n], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        return span_hashes(_LOWER[self.data] if lower else self.data, self.starts, self.ends)
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
@@ -115,17 +106,29 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     return Words(data, bounds, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, bounds))
 
 
-def prefix_sums(h: np.ndarray) -> np.ndarray:
-    """Sums from which ``run_hash`` gives the hash of any run of the sequence."""
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * _WORDS.get(len(h) + 1)[0][: len(h)], out=total[1:])
-    return total
-
-
-def run_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the elements starts:ends of the sequence behind ``total``; depends on them alone."""
-    h = (total[ends] - total[starts]) * _WORDS.get(len(total))[1][starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
+
+
+def run_hashes(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+    """Hash of the elements ``starts : starts + sizes`` of ``h``, which depends on them alone.
+
+    Runs of 1, 2, 4, ... elements are hashed from their halves, each mixed; a run is put together from
+    those that its size in binary names."""
+    sizes = np.broadcast_to(np.asarray(sizes, np.int64), len(starts))
+    out = mix(sizes.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + np.uint64(1))
+    at, level, bit, most = starts.copy(), h, 1, int(sizes.max(initial=0))
+    while bit <= most:
+        on = np.flatnonzero(sizes & bit)
+        if len(on) == len(out):
+            out, at = _join(out, level[at]), at + bit
+        elif len(on):
+            out[on] = _join(out[on], level[at[on]])
+            at[on] += bit
+        if 2 * bit <= most:
+            level = _join(level[:-bit], level[bit:])
+        bit *= 2
+    return out
 
 
 def signed(x: np.ndarray) -> pa.Array:

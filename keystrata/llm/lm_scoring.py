@@ -1,48 +1,53 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Every word belongs to one of ``CLASSES`` classes: the most frequent words and the end each have their
-own, the rest share classes by their last two bytes. The neural model predicts the class from the two
-classes before: each has a vector, the context vector is a sum of the two under position matrices,
-and its product with the target vectors (plus a bias) scores all classes. It is trained in numpy by
-noise-contrastive estimation against the classes' frequencies; as the counts of all class triples of the
-training texts are gathered first (a bound of CLASSES**3 numbers, whatever the input), the expectation over data
-and noise is taken exactly, not sampled. One batched matrix product then gives the
-normalised log-probability of every class in every context. Inside a shared class a word has its
-add-one share of the class. Scores are log10 probabilities of whole texts, the end included.
-
-Counts of words stay distributed. A table of the most frequent words, ``HEAD`` at most, is broadcast
-(16 bytes a word); all other words of a text meet their counts in a join.
+**Words.** All words are counted, and the counts stay distributed. The ``GROWTH * sqrt(distinct words)`` most
+frequent words and the end are tokens of their own, so what the model knows grows with the corpus; the rest
+share ``SHARED`` tokens by their last two bytes, inside which a word has its add-one share of the counts.
+
+**Model.** Each token has a context vector; those of the ``CONTEXT`` tokens before, each under a diagonal
+position matrix, add up to the prediction, whose product with target vectors (plus a bias) gives scores.
+Targets are factored into about sqrt(tokens) classes of equal size: P(token) = P(class) P(token | class), each a
+softmax of such products, so a batch is normalised by two matrix products. Classes are cut by bisection from
+what the tokens follow (counted over all training texts against the ``NEAR`` most frequent tokens).
+
+**Training** is numpy in the executors: in each of ``ROUNDS`` rounds every task goes over its share of the training
+texts in mini-batches, against noise drawn from the classes' and the words' frequencies, and the parameters are
+averaged, weighted by tokens. Every training token is used; what a task sends is the model's size.
+
+A table of the most frequent words, ``HEAD`` at most, is broadcast (20 bytes a word); all other words of a text
+meet their counts in a join. Scores are log10 probabilities of whole texts, the end included.
 
 Defined results: null or empty text is the end token alone; null ids never train; rows with one id are
-scored each for itself; no training text gives probability-1 base scores and a uniform model. Extra
-columns aren't kept."""
+scored each for itself, equal rows alike; long texts go through in slices; no training text gives
+probability-1 base scores and an untrained model. Extra columns aren't kept."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._spark import checkpoint, ship
+from ._spark import checkpoint, parallelism, ship
 
-CLASSES, OWN = 128, 96
-BEGIN, END, FIRST_SHARED = 0, 1, 2 + OWN
-SHARED = CLASSES - FIRST_SHARED
-DIM, NOISE, STEPS, RATE = 24, 10, 160, 0.06
+GROWTH, SHARED = 8, 32
+DIM, CONTEXT, NEAR = 16, 4, 24
+ROUNDS, BATCH, RATE = 2, 2048, 0.2
+#: Noise classes of a mini-batch, noise words of a token.
+CLASS_NOISE, WORD_NOISE = 64, 4
 HEAD = 1 << 20
-#: Words that a task holds before it counts them.
-HELD = 1 << 22
+#: Words that a task holds before it counts them, tokens that are scored at once, numbers in a block of parameters.
+HELD, SLICE, BLOCK = 1 << 22, 1 << 14, 1 << 16
 END_HASH = np.int64(0x454E445F544F4B45)
 
 
-def suffix_class(w: X.Words) -> np.ndarray:
-    """The shared class of each word, by its last two bytes."""
+def suffix_bucket(w: X.Words) -> np.ndarray:
+    """The shared token of each word, by its last two bytes."""
     low = X._LOWER[w.data]
     last = low[w.ends - 1].astype(np.uint64)
     before = np.where(w.ends - w.starts > 1, low[np.maximum(w.ends - 2, 0)], 0).astype(np.uint64)
@@ -50,7 +55,7 @@ def suffix_class(w: X.Words) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, shared class, count), partly added up; the end counts once a text."""
+    """(hash, shared token, count), partly added up; the end counts once a text."""
     held: list[np.ndarray] = []
     kinds: list[np.ndarray] = []
     size = texts = 0
@@ -67,7 +72,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, bounds in X.chunks(batch.column(0)):
             w = X.words(data, bounds)
             held.append(w.hashes(lower=True).view(np.int64))
-            kinds.append(suffix_class(w).astype(np.int32))
+            kinds.append(suffix_bucket(w).astype(np.int32))
             size += len(held[-1])
             if size > HELD:
                 yield settle()
@@ -78,125 +83,316 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([END_HASH]), pa.array([-1], pa.int32()), pa.array([texts], pa.int64())], names=["h", "k", "n"])
 
 
+def _find(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in a sorted table, -1 where absent."""
+    if not len(table):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return np.where(table[at] == h, at, -1)
+
+
 class Vocabulary:
-    """The head of the word counts, and the classes of words."""
+    """The head of the word counts, and tokens: 0 the end, then the shared ones, then the own words by hash.
+    ``tokens`` is their number, and as a context the beginning."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, own: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.own = np.sort(own)
+        self.tokens = 1 + SHARED + len(own)
 
-    @staticmethod
-    def _find(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Places in a sorted table, -1 where absent."""
-        if not len(table):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-        return np.where(table[at] == h, at, -1)
-
-    def classes(self, w: X.Words, h: np.ndarray) -> np.ndarray:
-        at = self._find(self.own, h)
-        return np.where(at >= 0, 2 + at, FIRST_SHARED + suffix_class(w))
+    def sequence(self, w: X.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts, each after ``CONTEXT`` beginnings and before the end, and the places of the targets."""
+        at = _find(self.own, h)
+        texts = len(w.first) - 1
+        seq = np.full(len(h) + (CONTEXT + 1) * texts, self.tokens, np.int64)
+        place = np.arange(len(h)) + (CONTEXT + 1) * w.owner() + CONTEXT
+        seq[place] = np.where(at >= 0, 1 + SHARED + at, 1 + suffix_bucket(w))
+        ends = w.first[1:] + (CONTEXT + 1) * np.arange(1, texts + 1) - 1
+        seq[ends] = 0
+        return seq, np.flatnonzero(seq != self.tokens)
 
     def count(self, h: np.ndarray) -> np.ndarray:
         """Counts, -1 for words that aren't in the head."""
-        at = self._find(self.hashes, h)
+        at = _find(self.hashes, h)
         return np.where(at >= 0, self.counts[at], -1) if len(self.hashes) else at
 
 
-def triples(w: X.Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of (two classes before, class) for all tokens of each text, and where each text's begin."""
-    texts = len(w.first) - 1
-    seq = np.full(len(classes) + 3 * texts, BEGIN, np.int64)
-    seq[np.arange(len(classes)) + 3 * w.owner() + 2] = classes
-    at = w.first[1:] + 3 * np.arange(texts) + 2
-    seq[at] = END
-    code = (seq[:-2] * CLASSES + seq[1:-1]) * CLASSES + seq[2:]
-    token = np.ones(len(code), bool)
-    for gap in (1, 2):  # codes that end in the next text's begin
-        token[at[at - 2 + gap < len(code)] - 2 + gap] = False
-    return code[token], w.first + np.arange(texts + 1)
-
-
-def _count_triples(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CLASSES**3, np.int64)
+def _sequences(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
-        v = vocabulary.value
         for _, _, data, bounds in X.chunks(batch.column(0)):
             w = X.words(data, bounds)
-            h = w.hashes(lower=True).view(np.int64)
-            code, n = np.unique(triples(w, v.classes(w, h))[0], return_counts=True)
-            total[code] += n
-    code = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(total[code])], names=["code", "n"])
+            yield vocabulary.value.sequence(w, w.hashes(lower=True).view(np.int64))
+
+
+def _count_near(batches: Iterator[pa.RecordBatch], vocabulary, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(token * (NEAR + 1) + place in ``near`` of the token before, count); the last place is any other token."""
+    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for seq, at in _sequences(batches, vocabulary):
+        c, m = np.unique(seq[at] * (NEAR + 1) + near[seq[at - 1]], return_counts=True)
+        code, inverse = np.unique(np.concatenate([code, c]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([n, m])).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+
+@dataclass
+class Model:
+    """Parameters. Token t stands in ``slot[t]`` = class * width + place; empty slots have a bias of -inf."""
 
+    slot: np.ndarray
+    width: int
+    R: np.ndarray  # context vectors, the beginning's last
+    far: np.ndarray  # diagonal position matrices
+    A: np.ndarray  # class vectors and biases
+    a: np.ndarray
+    Q: np.ndarray  # vectors and biases of the slots
+    b: np.ndarray
 
-def train(codes: np.ndarray, counts: np.ndarray, seed: int = 7) -> np.ndarray:
-    """log10 P(class | two classes before), shape (CLASSES**2, CLASSES); row of a context: first * CLASSES + second."""
+    NAMES = ("R", "far", "A", "a", "Q", "b")
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+
+    def with_flat(self, x: np.ndarray) -> Model:
+        new, at = {}, 0
+        for n in self.NAMES:
+            old = getattr(self, n)
+            new[n] = x[at : at + old.size].reshape(old.shape).astype(np.float32)
+            at += old.size
+        return Model(self.slot, self.width, **new)
+
+    def prediction(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = self.R[seq[at - 1]] * self.far[0]
+        for j in range(1, CONTEXT):
+            out += self.R[seq[at - 1 - j]] * self.far[j]
+        return out
+
+    def log_probabilities(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Normalised natural log-probability of the tokens at some places of a sequence."""
+        out = np.empty(len(at))
+        for lo in range(0, len(at), SLICE):
+            part = at[lo : lo + SLICE]
+            slot = self.slot[seq[part]]
+            kind, place = slot // self.width, slot % self.width
+            order = np.argsort(kind, kind="stable")
+            c = self.prediction(seq, part[order])
+            kind, place = kind[order], place[order]
+            found = _log_softmax(c @ self.A.T + self.a, kind)
+            edges = np.searchsorted(kind, np.arange(len(self.a) + 1))
+            for k in np.unique(kind).tolist():
+                i, j, s = edges[k], edges[k + 1], slice(k * self.width, (k + 1) * self.width)
+                found[i:j] += _log_softmax(c[i:j] @ self.Q[s].T + self.b[s], place[i:j])
+            out[lo + order] = found
+        return out
+
+
+def _log_softmax(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    top = scores.max(axis=1)
+    scores -= top[:, None]
+    hit = scores[np.arange(len(chosen)), chosen].astype(np.float64)
+    np.exp(scores, out=scores)
+    return hit - np.log(scores.sum(axis=1, dtype=np.float64))
+
+
+def bisected(v: np.ndarray, parts: int) -> np.ndarray:
+    """Rows of ``v`` in an order whose ``parts`` (a power of 2) equal runs are cut at medians of the direction that varies most."""
+    runs = [np.arange(len(v))]
+    while len(runs) < parts:
+        halves = []
+        for rows in runs:
+            x = v[rows] - v[rows].mean(axis=0) if len(rows) else v[rows]
+            axis = np.linalg.eigh(x.T @ x)[1][:, -1] if len(rows) else np.zeros(v.shape[1])
+            order = rows[np.argsort(x @ axis, kind="stable")]
+            halves += [order[: (len(rows) + 1) // 2], order[(len(rows) + 1) // 2 :]]
+        runs = halves
+    return np.concatenate(runs)
+
+
+def initial(n: np.ndarray, near: np.ndarray, seed: int = 7) -> Model:
+    """The model before training, from the tokens' counts and what they follow (tokens x NEAR + 1)."""
     rng = np.random.default_rng(seed)
-    p = {n: (rng.standard_normal(s) * 0.1).astype(np.float32) for n, s in {"R": (CLASSES, DIM), "Q": (CLASSES, DIM)}.items()}
-    p |= {n: np.eye(DIM, dtype=np.float32) for n in ("far", "near")} | {"b": np.zeros(CLASSES, np.float32)}
-    if len(codes):
-        contexts, row = np.unique(codes // CLASSES, return_inverse=True)
-        data = np.zeros((len(contexts), CLASSES), np.float32)
-        data[row, codes % CLASSES] = counts / counts.sum()
-        noise = data.sum(axis=0) + 1e-6
-        noise /= noise.sum()
-        p["b"] = np.log(noise)
-        weight = data.sum(axis=1, keepdims=True) * (NOISE * noise)[None, :]
-        shift = np.log(NOISE * noise)
-        a, c = contexts // CLASSES, contexts % CLASSES
-        m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
-        for t in range(1, STEPS + 1):
-            ra, rc = p["R"][a], p["R"][c]
-            context = ra @ p["far"] + rc @ p["near"]
-            fit = context @ p["Q"].T + (p["b"] - shift)
-            real = 1 / (1 + np.exp(-np.clip(fit, -30, 30)))
-            slope = data - (data + weight) * real  # of the objective by each score
-            to_context = slope @ p["Q"]
-            g = {"Q": slope.T @ context, "b": slope.sum(axis=0), "far": ra.T @ to_context, "near": rc.T @ to_context}
-            g["R"] = np.zeros_like(p["R"])
-            np.add.at(g["R"], a, to_context @ p["far"].T)
-            np.add.at(g["R"], c, to_context @ p["near"].T)
-            for n, x in g.items():
-                m[n] = 0.9 * m[n] + 0.1 * x
-                v[n] = 0.99 * v[n] + 0.01 * x * x
-                step = RATE * (1 - t / (STEPS + 1)) * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-9)
-                p[n] = (p[n] + step).astype(np.float32)
-    first, second = p["R"] @ p["far"], p["R"] @ p["near"]
-    logits = (first[:, None, :] + second[None, :, :]).reshape(-1, DIM) @ p["Q"].T + p["b"]
-    logits[:, BEGIN] = -np.inf
-    logits -= logits.max(axis=1, keepdims=True)
-    return ((logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / math.log(10)).astype(np.float32)
-
-
-def _score(batches: Iterator[pa.RecordBatch], vocabulary, table, shares: np.ndarray, unit: float, end_count: int) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and one for each of its words that isn't in the head."""
-    part, serial = TaskContext.get().partitionId() << 40, 0
-    names = ["row", "doc_id", "h", "tf", "n_tokens", "n_known", "base", "score"]
+    tokens = len(n)
+    parts = 1 << max(0, round(math.log2(tokens) / 2))
+    after = near + 1.0
+    lift = np.log(after / after.sum(axis=1, keepdims=True)) - np.log(after.sum(axis=0) / after.sum())
+    lift *= np.sqrt(n / (n + 50.0))[:, None]  # few occurrences say little
+    order = bisected(lift, parts)
+    # the runs differ by one token at most
+    sizes = np.array([len(order)])
+    while len(sizes) < parts:
+        sizes = np.stack([(sizes + 1) // 2, sizes // 2], axis=1).ravel()
+    width = int(sizes.max())
+    first = np.repeat(np.arange(parts) * width, sizes)
+    slot = np.empty(tokens, np.int64)
+    slot[order] = first + np.arange(tokens) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    mass = np.zeros(parts * width)
+    mass[slot] = n + 0.5
+    kinds = mass.reshape(parts, width).sum(axis=1)
+    with np.errstate(divide="ignore"):
+        b = np.log(mass / np.repeat(kinds, width))
+    u, s, _ = np.linalg.svd(lift - lift.mean(axis=0), full_matrices=False)
+    v = np.zeros((tokens + 1, DIM))
+    k = min(DIM, len(s))
+    v[:tokens, :k] = u[:, :k] * s[:k]
+    v *= 0.3 / max(1e-9, float(np.sqrt((v * v).mean())))
+    draw = lambda *shape: rng.standard_normal(shape) * 0.02
+    f32 = lambda x: np.ascontiguousarray(x, np.float32)
+    return Model(slot, width, f32(v + draw(*v.shape)), f32(np.full((CONTEXT, DIM), 1 / CONTEXT)), f32(draw(parts, DIM)), f32(np.log(kinds / kinds.sum())), f32(draw(parts * width, DIM)), f32(b))
+
+
+def _add_rows(target: np.ndarray, square: np.ndarray, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
+    """An Adagrad step on some rows, which may repeat."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    lead = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    g = np.add.reduceat(slopes[order], lead, axis=0)
+    rows = rows[lead]
+    square[rows] += g * g
+    target[rows] += rate * g / np.sqrt(square[rows])
+
+
+class Trainer:
+    """Noise-contrastive steps on a model, in place. Noise comes from the frequencies that the biases began with."""
+
+    def __init__(self, model: Model, kinds: np.ndarray, mass: np.ndarray, seed: int):
+        self.m, self.rng = model, np.random.default_rng(seed)
+        self.kinds, self.mass = kinds, mass  # shares of the classes, of the slots in all
+        self.class_sums = np.cumsum(kinds)
+        self.slot_sums = np.concatenate([[0.0], np.cumsum(mass)])
+        self.square = {n: np.full(getattr(model, n).shape, 1e-2, np.float32) for n in Model.NAMES}
+
+    def step(self, seq: np.ndarray, at: np.ndarray, rate: float) -> None:
+        m, n = self.m, len(at)
+        slot = m.slot[seq[at]]
+        kind = slot // m.width
+        c = m.prediction(seq, at)
+        # classes: one draw of noise for the batch
+        drawn = np.minimum(np.searchsorted(self.class_sums, self.rng.random(CLASS_NOISE)), len(self.kinds) - 1)
+        shift = np.log(CLASS_NOISE * self.kinds).astype(np.float32)
+        real = np.einsum("nd,nd->n", c, m.A[kind]) + m.a[kind] - shift[kind]
+        fake = c @ m.A[drawn].T + m.a[drawn] - shift[drawn]
+        up, down = _sigmoid(-real), -_sigmoid(fake)
+        to_c = up[:, None] * m.A[kind] + down @ m.A[drawn]
+        rows = np.concatenate([kind, drawn])
+        slopes = np.concatenate([up[:, None] * c, down.T @ c])
+        bias = np.concatenate([up, down.sum(axis=0)])
+        # words: noise from the target's own class
+        lo, hi = self.slot_sums[kind * m.width], self.slot_sums[(kind + 1) * m.width]
+        u = lo[:, None] + (hi - lo)[:, None] * self.rng.random((n, WORD_NOISE))
+        other = np.clip(np.searchsorted(self.slot_sums, u, "right") - 1, (kind * m.width)[:, None], ((kind + 1) * m.width - 1)[:, None])
+        both = np.concatenate([slot[:, None], other], axis=1)
+        with np.errstate(divide="ignore"):
+            chance = np.log(WORD_NOISE * self.mass[both] / (hi - lo)[:, None]).astype(np.float32)
+        usable = self.mass[both] > 0
+        q = m.Q[both]
+        fit = np.where(usable, np.einsum("nkd,nd->nk", q, c) + np.where(usable, m.b[both], 0) - np.where(usable, chance, 0), 0)
+        slope = -_sigmoid(fit)
+        slope[:, 0] += 1
+        slope *= usable
+        to_c += np.einsum("nk,nkd->nd", slope, q)
+        flat = slope.ravel()
+        used = both.ravel()
+        _add_rows(m.Q, self.square["Q"], used, (slope[:, :, None] * c[:, None, :]).reshape(-1, DIM), rate)
+        _add_rows(m.b, self.square["b"], used, flat, rate)
+        _add_rows(m.A, self.square["A"], rows, slopes, rate)
+        _add_rows(m.a, self.square["a"], rows, bias, rate)
+        before = np.stack([seq[at - 1 - j] for j in range(CONTEXT)])
+        g = np.stack([(to_c * m.R[before[j]]).sum(axis=0) for j in range(CONTEXT)])
+        _add_rows(m.R, self.square["R"], before.ravel(), (to_c[None] * m.far[:, None, :]).reshape(-1, DIM), rate)
+        self.square["far"] += g * g
+        m.far += rate * g / np.sqrt(self.square["far"])
+
+    def run(self, seq: np.ndarray, at: np.ndarray, rate: float) -> None:
+        at = self.rng.permutation(at)
+        for lo in range(0, len(at), BATCH):
+            self.step(seq, at[lo : lo + BATCH], rate)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _train(batches: Iterator[pa.RecordBatch], vocabulary, shared, rate: float) -> Iterator[pa.RecordBatch]:
+    """Parameters after one pass over a task's texts, in blocks: (block, tokens, numbers times tokens)."""
+    trainer, tokens = None, 0
+    for seq, at in _sequences(batches, vocabulary):
+        if trainer is None:
+            model, kinds, mass = shared.value
+            trainer = Trainer(model.with_flat(model.flat()), kinds, mass, len(seq))
+        trainer.run(seq, at, rate)
+        tokens += len(at)
+    if trainer is not None:
+        x = trainer.m.flat()
+        x = np.where(np.isfinite(x), x, 0) * np.float64(tokens)
+        for i, lo in enumerate(range(0, len(x), BLOCK)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([float(tokens)]), pa.array([x[lo : lo + BLOCK].astype(np.float32).tobytes()], pa.binary())], names=["i", "w", "x"])
+
+
+def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list] = {}
     for batch in batches:
-        v, lp = vocabulary.value, table.value
-        docs = batch.column(0)
-        for a, b, data, bounds in X.chunks(batch.column(1)):
+        for i, w, x in zip(*(c.to_pylist() for c in batch.columns)):
+            v = np.frombuffer(x, np.float32).astype(np.float64)
+            held[i] = [held[i][0] + w, held[i][1] + v] if i in held else [w, v]
+    for i, (w, v) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([w]), pa.array([(v / w).astype(np.float32).tobytes()], pa.binary())], names=["i", "w", "x"])
+
+
+def train(texts: DataFrame, vocabulary, counts: np.ndarray) -> Model:
+    """The model after ``ROUNDS`` rounds over the column ``t`` of ``texts``; ``counts`` are those of the tokens."""
+    sc = texts.sparkSession.sparkContext
+    size = len(counts)
+    top = np.lexsort((np.arange(size), -counts))[:NEAR]
+    near = np.full(size + 1, NEAR)
+    near[top] = np.arange(len(top))
+    found = texts.mapInArrow(lambda it: _count_near(it, vocabulary, near), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(size * (NEAR + 1))
+    table[np.asarray(found.column("code")).astype(np.int64)] = np.asarray(found.column("n"))
+    model = initial(counts, table.reshape(size, NEAR + 1))
+    mass = np.zeros(len(model.b))
+    mass[model.slot] = counts + 0.5
+    mass /= mass.sum()
+    kinds = mass.reshape(-1, model.width).sum(axis=1)
+    for r in range(ROUNDS):
+        shared = sc.broadcast((model, kinds, mass))
+        share = texts.where(F.pmod(F.xxhash64("t"), F.lit(ROUNDS)) == r)
+        rate = RATE / (1 + r)
+        blocks = share.mapInArrow(lambda it: _train(it, vocabulary, shared, rate), "i int, w double, x binary")  # noqa: B023
+        got = blocks.repartition(parallelism(texts.sparkSession), "i").mapInArrow(_add_blocks, "i int, w double, x binary").toArrow()
+        shared.unpersist()
+        if got.num_rows:
+            empty = ~np.isfinite(model.flat())
+            x = np.frombuffer(b"".join(d for _, d in sorted(zip(got.column("i").to_pylist(), got.column("x").to_pylist()))), np.float32)
+            model = model.with_flat(np.where(empty, -np.inf, x))
+    return model
+
+
+def _score(batches: Iterator[pa.RecordBatch], vocabulary, shared, shares: np.ndarray, unit: float, end_count: int) -> Iterator[pa.RecordBatch]:
+    """A row for each text, and one for each of its words that isn't in the head; rows of one text have its id and hash."""
+    names = ["doc_id", "k", "h", "tf", "n_tokens", "n_known", "base", "score"]
+    for batch in batches:
+        v, model = vocabulary.value, shared.value
+        for a, b, data, bounds in X.chunks(batch.column(2)):
+            ids, keys = batch.column(0)[a:b], batch.column(1)[a:b]
             w = X.words(data, bounds)
             h = w.hashes(lower=True).view(np.int64)
-            classes = v.classes(w, h)
-            code, first = triples(w, classes)
-            neural = np.concatenate([[0.0], np.cumsum(lp.reshape(-1)[code], dtype=np.float64)])
+            seq, at = v.sequence(w, h)
+            neural = np.concatenate([[0.0], np.cumsum(model.log_probabilities(seq, at) / math.log(10))])
+            first = w.first + np.arange(len(w.first))
             neural = neural[first[1:]] - neural[first[:-1]]
             count = v.count(h)
             tail = count < 0
             logs = np.log10(np.where(tail, 0, count) + 1.0)
-            shared = classes >= FIRST_SHARED
-            inside = np.where(shared, logs - shares[np.maximum(classes - FIRST_SHARED, 0)], 0.0)
+            bucket = seq[at[seq[at] != 0]] - 1
+            inside = np.where(bucket < SHARED, logs - shares[np.minimum(bucket, SHARED - 1)], 0.0)
             total = [np.concatenate([[0.0], np.cumsum(x)]) for x in (logs, inside, (count > 0).astype(np.int64))]
             base, extra, known = (t[w.first[1:]] - t[w.first[:-1]] for t in total)
             n = np.diff(w.first) + 1
             base = base + math.log10(end_count + 1) - n * unit
-            rows = np.arange(serial, serial + b - a) + part
-            serial += b - a
+            # the hash spreads one text's rows and those of its rare words over the join
+            lone = X.mix(np.asarray(keys.fill_null(0)).astype(np.int64).view(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), docs[a:b], X.signed(X.mix(rows.view(np.uint64) + np.uint64(1))), pa.nulls(b - a, pa.int64()), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64) + (end_count > 0)), pa.array(base), pa.array(neural + extra)],
+                [ids, keys, X.signed(lone), pa.nulls(b - a, pa.int64()), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64) + (end_count > 0)), pa.array(base), pa.array(neural + extra)],
                 names=names,
             )
             if tail.any():
@@ -205,13 +401,13 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary, table, shares: np.ndar
                 owner, hash_ = owner[order], hash_[order]
                 lead = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hash_[1:] != hash_[:-1])]))
                 tf = np.diff(np.append(lead, len(owner)))
-                empty = pa.nulls(len(lead), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[owner[lead]]), empty, pa.array(hash_[lead]), pa.array(tf.astype(np.int64)), empty, empty, pa.nulls(len(lead), pa.float64()), pa.nulls(len(lead), pa.float64())], names=names)
+                of, empty = pa.array(owner[lead]), pa.nulls(len(lead), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(of), keys.take(of), pa.array(hash_[lead]), pa.array(tf.astype(np.int64)), empty, empty, pa.nulls(len(lead), pa.float64()), pa.nulls(len(lead), pa.float64())], names=names)
 
 
-def score_documents(docs: DataFrame, train_where: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``, by a model of
-    the rows that ``train_where`` (SQL over ``docs``) picks."""
+def fit(docs: DataFrame, train_where: str, text_col: str = "text") -> tuple:
+    """What scoring needs, from the rows that ``train_where`` (SQL over ``docs``) picks: counts (distributed), the
+    broadcast vocabulary and model, log10 sizes of the shared tokens, and the training tokens, types and ends."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     ship(spark)
@@ -230,24 +426,36 @@ def score_documents(docs: DataFrame, train_where: str, id_col: str = "doc_id", t
     words = h != END_HASH
     end_count = kinds.get(-1, (0, 0))[0]
     h, k, n = h[words], k[words], n[words]
-    top = np.lexsort((h, -n))[:OWN]
-    vocabulary = sc.broadcast(Vocabulary(h, n, h[top]))
-    shares = np.zeros(SHARED)
+    top = np.lexsort((h, -n))[: int(GROWTH * math.sqrt(types))]
+    top = top[np.argsort(h[top])]
+    rest, shares = np.zeros(SHARED), np.zeros(SHARED)
     for j in range(SHARED):
         total, types_in = kinds.get(j, (0, 0))
         own = k[top] == j
-        shares[j] = math.log10(total - int(n[top][own].sum()) + types_in - int(own.sum()) + 1)
-    gathered = training.mapInArrow(lambda it: _count_triples(it, vocabulary), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    table = sc.broadcast(train(np.asarray(gathered.column("code")).astype(np.int64), np.asarray(gathered.column("n")).astype(np.float64)))
-    unit = math.log10((tokens + 1 * (types + 1)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(
-        lambda it: _score(it, vocabulary, table, shares, unit, end_count), "row long, doc_id long, h long, tf long, n_tokens long, n_known long, base double, score double"
+        rest[j] = total - int(n[top][own].sum())
+        shares[j] = math.log10(rest[j] + types_in - int(own.sum()) + 1)
+    vocabulary = sc.broadcast(Vocabulary(h, n, h[top]))
+    model = sc.broadcast(train(training, vocabulary, np.concatenate([[end_count], rest, n[top]])))
+    return counts, vocabulary, model, shares, (int(tokens), int(types), int(end_count))
+
+
+def score_documents(docs: DataFrame, train_where: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``, by a model of
+    the rows that ``train_where`` (SQL over ``docs``) picks."""
+    counts, vocabulary, model, shares, (tokens, types, end_count) = fit(docs, train_where, text_col)
+    unit = math.log10(tokens + types + 1)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("t"))
+    rows = slim.mapInArrow(
+        lambda it: _score(it, vocabulary, model, shares, unit, end_count), "doc_id long, k long, h long, tf long, n_tokens long, n_known long, base double, score double"
     )
     found = rows.join(counts.select("h", F.col("n").alias("c")), "h", "left")
     own, c = F.coalesce("tf", F.lit(0)), F.when(F.col("tf").isNotNull(), F.coalesce("c", F.lit(0)))
-    logs = F.coalesce(own * F.log10(c + 1), F.lit(0.0))
-    summed = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(c > 0, own).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(logs)).alias("base_score"), (F.max("score") + F.sum(logs)).alias("score"),
+    # equal rows are added up together, and dealt out again
+    copies = F.count("n_tokens")
+    logs = F.sum(F.coalesce(own * F.log10(c + 1), F.lit(0.0))) / copies
+    summed = found.groupBy("doc_id", "k").agg(
+        copies.alias("copies"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(c > 0, own).otherwise(0)) / copies).cast("long").alias("n_known"),
+        (F.max("base") + logs).alias("base_score"), (F.max("score") + logs).alias("score"),
     )
-    return summed.select("doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

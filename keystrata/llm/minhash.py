@@ -48,8 +48,6 @@ BANDS, ROWS = 32, 4
 SLACK = 0.19
 #: Members of a block in the second round.
 CHUNK = 256
-#: Bytes of a shingle's hash in a set that is sent to be verified: two sets of n agree by chance in n*n/2**40.
-SET_BYTES = 5
 
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,12 +58,11 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np
     """Distinct shingle hashes of each text, ascending, and where each text's begin."""
     w = X.words(data, bounds)
     h = w.hashes(lower=True)
-    total = X.prefix_sums(h)
     count = np.diff(w.first)
     runs = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
     owner = np.repeat(np.arange(len(count)), runs)
     start = w.first[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
-    s = X.run_hash(total, start, start + np.minimum(shingle, count[owner]))
+    s = X.run_hashes(h, start, np.minimum(shingle, count[owner]))
     order = np.lexsort((s, owner))
     s, owner = s[order], owner[order]
     new = np.ones(len(s), bool)
@@ -83,17 +80,6 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(48)).astype(np.uint16)
 
 
-def packed(s: np.ndarray) -> bytes:
-    """A set as the upper ``SET_BYTES`` bytes of its hashes."""
-    return np.ascontiguousarray(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
-    wide[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
-    return wide.view(">u8").ravel().astype(np.uint64)
-
-
 def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     names = ["d", "n", "x", "y", "sig"]
     for batch in batches:
@@ -166,7 +152,7 @@ def _alike(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 def _link(batches: Iterator[pa.RecordBatch], least: int, threshold: int) -> Iterator[pa.RecordBatch]:
     """Verified links between members; a pair that the block's links have joined already needs none."""
     for _, c, d, r, sig, packs in _blocks(batches):
-        sets = [unpacked(x) for x in packs]
+        sets = [np.frombuffer(x, np.uint64) for x in packs]
         above = {x: x for x in set(r.tolist())}
 
         def root(x: int) -> int:
@@ -192,7 +178,7 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
     for batch in batches:
         for a, b, data, bounds in X.chunks(batch.column(1)):
             s, first = shingle_sets(data, bounds, shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([packed(s[i:j]) for i, j in X.slices(first)], pa.binary())], names=["d", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s[i:j].tobytes() for i, j in X.slices(first)], pa.binary())], names=["d", "s"])
 
 
 def _agree(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -209,7 +195,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
     for batch in batches:
         keep = []
         for s, t in zip(batch.column(2), batch.column(3)):
-            a, b = unpacked(s.as_py()), unpacked(t.as_py())
+            a, b = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(100 * both >= threshold * (len(a) + len(b) - both))
         keep = pa.array(keep, pa.bool_())

@@ -6,9 +6,12 @@ first taking what is over. The packing itself is planned on the histogram of pie
 
 1. Large lengths, longest first, are dealt into ``GROUPS`` groups of equal cardinality and rounded
    up to the longest of their group.
-2. Configurations over these few sizes are optimised: each time the fullest combination with the
-   largest size left, by dynamic programming, as often as the counts allow.
-3. The actual lengths take the places of their group, longest first, which frees what was rounded.
+2. Configurations over these few sizes are optimised by column generation: a linear program over the
+   configurations in its basis, and a knapsack for the one that would improve it. What rounding its solution
+   down leaves over goes into the fullest combinations, by dynamic programming.
+3. Actual lengths take the places, a configuration at a time: the longest that the place's size allows, at the
+   last place the longest that the sequence has room for, and more while one fits. What rounding took
+   is so gathered in the later configurations, which run dry before their number is used up.
 4. Small pieces, longest first, go where they fit best; then new sequences are opened.
 
 Sequences with equal contents are planned together as one *kind*, so the plan is a table of places
@@ -16,15 +19,17 @@ for runs of ranks, of a size set by ``capacity`` and ``GROUPS`` alone. Each piec
 its rank among the pieces of its length, which is counted in hashed buckets: no length, however
 frequent, is ordered in one task.
 
-Defined results: null text is empty text, one piece with the end token alone. Rows with one id are
-packed each for itself. Null ids are packed like others. Extra columns aren't kept."""
+Defined results: null text is empty text, one piece with the end token alone. Long texts are cut whole.
+Rows with one id, equal ones too, are packed each for itself. Null ids are packed like others; an empty table has
+no pieces. Extra columns, whatever their names, aren't kept."""
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +43,7 @@ from ._spark import checkpoint, parallelism, ship
 from .byte_bpe import BYTE_LEVEL, MAX_PIECES, PIECE_CHARS, splitter
 from .token_counts import byte_alphabet
 
-GROUPS = 1024
+GROUPS = 32
 #: Lengths up to this share of the capacity are small.
 SMALL = 1 / 8
 
@@ -56,10 +61,12 @@ class Ids(dict):
         ranks = {bytes(to_byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         order = [ranks[bytes(to_byte[c] for c in a + b)] for a, b in pairs]
-        if spec["model"]["type"] != "BPE" or order != sorted(order) or spec.get("normalizer"):
+        split = spec.get("pre_tokenizer") or {}
+        if spec["model"]["type"] != "BPE" or order != sorted(order) or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
             raise ValueError(f"{path}: ids don't follow the merges")
         self.library = tiktoken.Encoding("packing", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self.split = splitter(BYTE_LEVEL)
+        self.found = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def __missing__(self, piece: str) -> bytes:
         out = array("I", self.library.encode_ordinary(piece)).tobytes()
@@ -68,10 +75,11 @@ class Ids(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        for s, packed in self.special.items():
-            if s in text:
-                return packed.join(map(self.encode, text.split(s)))
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if self.found is None or not self.found.search(text):
+            return b"".join(map(self.__getitem__, self.split(text)))
+        # the parts between specials, and the specials themselves at odd places
+        parts = self.found.split(text)
+        return b"".join(self.special[x] if i % 2 else b"".join(map(self.__getitem__, self.split(x))) for i, x in enumerate(parts))
 
 
 @lru_cache(2)
@@ -94,90 +102,151 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
+def fullest(worth: np.ndarray, sizes: list[int], most: list[int], room: int) -> np.ndarray:
+    """How many of each size make the most of ``room`` in the sum of ``worth``; ``most`` of each at most."""
+    best = np.zeros(room + 1)
+    taken: list[np.ndarray] = []  # for each size, how many of it are in the best of every room
+    for size, value, n in zip(sizes, worth.tolist(), most):
+        many = np.zeros(room + 1, np.int64)
+        base = best
+        for k in range(1, min(n, room // size) + 1):
+            with_k = base[: room + 1 - k * size] + k * value
+            better = np.flatnonzero(with_k > best[k * size :] + 1e-12) + k * size
+            best = best.copy()
+            best[better] = with_k[better - k * size]
+            many[better] = k
+        taken.append(many)
+    out = np.zeros(len(sizes), np.int64)
+    for j in range(len(sizes) - 1, -1, -1):
+        out[j] = taken[j][room]
+        room -= out[j] * sizes[j]
+    return out
+
+
+def column_generation(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, np.ndarray]]:
+    """(times, how many of each size): the linear program's solution, rounded down."""
+    n = len(sizes)
+    basis = np.diag([float(capacity // s) for s in sizes])
+    x = np.array(counts) / np.diag(basis)
+    limits = [capacity // s for s in sizes]
+    for _ in range(60 * n):
+        price = np.linalg.solve(basis.T, np.ones(n))
+        enters = fullest(price, sizes, limits, capacity)
+        if price @ enters <= 1 + 1e-9:
+            break
+        d = np.linalg.solve(basis, enters.astype(float))
+        ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
+        leaves = int(ratio.argmin())
+        x = np.maximum(0, x - ratio[leaves] * d)
+        x[leaves] = ratio[leaves]
+        basis[:, leaves] = enters
+    return [(int(v + 1e-6), basis[:, j].round().astype(np.int64)) for j, v in enumerate(x) if int(v + 1e-6)]
+
+
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """(times, [(size's index, how many)]) that use up all counts; sizes descend."""
-    left, out = list(counts), []
+    left, out = np.array(counts, np.int64), []
+    for times, many in column_generation(sizes, counts, capacity) if sizes else []:
+        times = min([times, *(int(left[j] // many[j]) for j in np.flatnonzero(many))])
+        if times:
+            left -= times * many
+            out.append((times, many))
+    own = np.array(sizes, float)
     for lead in range(len(sizes)):
         while left[lead]:
-            usable = [j for j in range(lead, len(sizes)) if left[j]]
-            room = capacity - sizes[lead]
-            # take[r]: the last size used on the way to a total of r, -1: not reached
-            take = np.full(room + 1, -1, np.int64)
-            used: list[np.ndarray] = []
-            reached = np.zeros(room + 1, bool)
-            reached[0] = True
-            for j in usable:
-                size, most = sizes[j], left[j] - (j == lead)
-                many = np.zeros(room + 1, np.int64)
-                for _ in range(min(most, room // size)):
-                    fresh = np.zeros(room + 1, bool)
-                    fresh[size:] = reached[:-size] & ~reached[size:] & (many[:-size] < most)
-                    if not fresh.any():
-                        break
-                    where = np.flatnonzero(fresh)
-                    many[where] = many[where - size] + 1
-                    take[where] = j
-                    reached |= fresh
-                used.append(many)
-                if reached[room]:
+            rest = left.copy()
+            rest[lead] -= 1
+            many = fullest(own, sizes, rest.tolist(), capacity - sizes[lead])
+            many[lead] += 1
+            times = int(min(left[j] // many[j] for j in np.flatnonzero(many)))
+            left -= times * many
+            out.append((times, many))
+    return [(times, [(j, int(many[j])) for j in np.flatnonzero(many).tolist()]) for times, many in out]
+
+
+def substitute(sizes: list[int], chosen: list[tuple[int, list[tuple[int, int]]]], have: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Kinds of sequences with the actual lengths of ``have`` in the places of the configurations, in their order."""
+    have, lengths_left = dict(have), sorted(have)
+    lows = {x: y for x, y in zip(sizes, [*sizes[1:], 0])}  # a group's lengths are above the next one's longest
+    kinds: list[tuple[int, list[int]]] = []
+
+    def fits(limit: int, took: dict[int, int]) -> Iterator[int]:
+        """Lengths that are left, from the longest within ``limit`` on."""
+        for at in range(bisect_right(lengths_left, limit) - 1, -1, -1):
+            if have[lengths_left[at]] > took.get(lengths_left[at], 0):
+                yield lengths_left[at]
+
+    def fill(slots: list[int], times: int) -> int:
+        """One kind, as often as the lengths allow; how often."""
+        took: dict[int, int] = {}
+        lengths: list[int] = []
+        room = capacity
+
+        def take(s: int) -> None:
+            nonlocal room
+            took[s] = took.get(s, 0) + 1
+            lengths.append(s)
+            room -= s
+
+        for size in slots[:-2]:
+            if s := next(fits(min(size, room), took), 0):
+                take(s)
+        if len(slots) > 1:  # the last two together: of the first one's group, the length that leaves the least
+            least, pick = capacity + 1, 0
+            for s in fits(min(slots[-2], room), took):
+                if pick and s <= lows[slots[-2]]:
                     break
-            total = int(np.flatnonzero(reached)[-1])
-            chosen: dict[int, int] = {lead: 1}
-            while total:
-                j = int(take[total])
-                chosen[j] = chosen.get(j, 0) + 1
-                total -= sizes[j]
-            times = min(left[j] // k for j, k in chosen.items())
-            for j, k in chosen.items():
-                left[j] -= times * k
-            out.append((times, sorted(chosen.items())))
-    return out
-
+                rest = room - s - next(fits(room - s, took | {s: took.get(s, 0) + 1}), 0)
+                if rest < least:
+                    least, pick = rest, s
+                if not least:
+                    break
+            if pick:
+                take(pick)
+        while s := next(fits(room, took), 0):
+            take(s)
+        runs = min([times, *(have[s] // n for s, n in took.items())])
+        for s, n in took.items():
+            have[s] -= runs * n
+            if not have[s]:
+                lengths_left.remove(s)
+        kinds.append((runs, lengths))
+        return runs
 
-def _drawn(queue: list[list[int]], k: int) -> list[int]:
-    """How many of each entry (length, count), from the first on, make k lengths."""
-    out = []
-    for _, have in queue:
-        out.append(min(have, k))
-        k -= out[-1]
-        if not k:
-            break
-    return out
+    for times, config in chosen:
+        while times and lengths_left:
+            times -= fill([sizes[j] for j, k in config for _ in range(k)], times)
+    while lengths_left:
+        fill([capacity], sum(have.values()))
+    return kinds
 
 
 def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL) -> list[tuple[int, list[int]]]:
-    """Kinds of sequences: how many, and the lengths in each."""
+    """Kinds of sequences: how many, and the lengths in each. The best of a few plans: with half as many groups, with
+    half as many more, and with places filled from the longest or from the fullest configuration on."""
+    tries = (_plan(histogram, capacity, g, small, longest) for g in dict.fromkeys((max(1, groups // 2), groups, groups + groups // 2)) for longest in (True, False))
+    return min(tries, key=lambda kinds: sum(times for times, _ in kinds))
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, small: float, longest: bool) -> list[tuple[int, list[int]]]:
     edge = int(capacity * small)
     full = histogram.get(capacity, 0)
-    large = sorted(((s, n) for s, n in histogram.items() if edge < s < capacity), reverse=True)
-    total = sum(n for _, n in large)
-    share = max(1, -(-total // groups))
-    members: list[list[list[int]]] = []
-    fill = share
-    for s, n in large:
+    large = {s: n for s, n in histogram.items() if edge < s < capacity and n}
+    share = max(1, -(-sum(large.values()) // groups))
+    sizes: list[int] = []
+    counts: list[int] = []
+    for s in sorted(large, reverse=True):
+        n = large[s]
         while n:
-            if fill >= share:
-                members.append([])
-                fill = 0
-            took = min(n, share - fill)
-            members[-1].append([s, took])
-            fill, n = fill + took, n - took
-    sizes = [m[0][0] for m in members]
-    chosen = configurations(sizes, [sum(n for _, n in m) for m in members], capacity)
+            if not counts or counts[-1] == share:
+                sizes.append(s)
+                counts.append(0)
+            took = min(n, share - counts[-1])
+            counts[-1] += took
+            n -= took
+    chosen = sorted(configurations(sizes, counts, capacity), key=lambda c: c[1] if longest else [(-sum(sizes[j] * k for j, k in c[1]), 0)])
     kinds: list[tuple[int, list[int]]] = [(full, [capacity])] if full else []
-    for times, config in chosen:
-        while times:
-            # as many sequences with the same lengths as the longest ones left in each group allow
-            drawn = [(members[j], _drawn(members[j], k)) for j, k in config]
-            runs = min(times, *(have[1] // used for queue, part in drawn for have, used in zip(queue, part)))
-            lengths = []
-            for queue, part in drawn:
-                for have, used in zip(queue, part):
-                    have[1] -= runs * used
-                    lengths += [have[0]] * used
-                queue[:] = [x for x in queue if x[1]]
-            kinds.append((runs, lengths))
-            times -= runs
+    kinds += substitute(sizes, chosen, large, capacity)
     # best fit of the small ones over kinds by what they have left
     room: dict[int, list[tuple[int, list[int]]]] = {}
     open_rooms: list[int] = []
