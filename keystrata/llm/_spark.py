@@ -7,10 +7,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +34,26 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the session names. Local sessions (tests) may go without, and get one;
+    on a cluster executors would not share it, so there it is an error."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints_")
+        sc.setCheckpointDir(folder)
+    return folder
 
-    A folder is set here only where the session has none (tests, local runs)."""
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the folder that the session names."""
     spark = df.sparkSession
     sc = spark.sparkContext
+    folder = shared_folder(spark)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints_"))
+        sc.setCheckpointDir(folder)
     out = df.checkpoint()
     del df
     release(spark)
@@ -52,6 +67,40 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bits of an id filter: 8 MB at most are collected and broadcast, however many ids there are.
+FILTER_BITS = 1 << 26
+
+
+def _place(column: Column | str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, column: str) -> Broadcast:
+    """A bitmap of the hashes of ``column``, to keep rows of other ids out of a shuffle. Where the ids are so many
+    that it fills, more rows pass; the join after it decides."""
+    at = _place(column) + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        bits[(r["b"] - 1) * len(r["m"]) : r["b"] * len(r["m"])] = np.frombuffer(r["m"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def through(df: DataFrame, ids: Broadcast, column: str, listed: bool = True) -> DataFrame:
+    """Rows whose ``column`` the filter lists (or doesn't); a null id isn't listed."""
+    place = "_place_in_filter"
+    schema, names = df.schema, df.columns
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(names))
+            x = np.asarray(at.fill_null(0)).astype(np.int64)
+            hit = ((ids.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(bool) & np.asarray(at.is_valid())
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(hit == listed))
+
+    return df.withColumn(place, F.when(F.col(column).isNotNull(), _place(column))).mapInArrow(select, schema)
+
+
 def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     """``schema`` with ``fields`` replaced in place where the name exists, appended elsewhere."""
     new = dict(fields)

@@ -13,8 +13,9 @@ Decoding feeds token bytes to an incremental UTF-8 machine whose state is the un
 (three bytes at most); its transitions on whole tokens are made lazily as well. Bytes that can never
 become a character are decoded to U+FFFD.
 
-Defined results: null text is empty text (no ids); other columns pass through; columns of the names
-added here are replaced."""
+Defined results: null text is empty text (no ids); long texts, and long matches of the pattern, go through
+whole, in memory of their own size; repeated rows each get their result; an empty table stays empty; other
+columns pass through; columns of the names added here are replaced."""
 
 from __future__ import annotations
 
@@ -158,11 +159,15 @@ class Transducer:
         return step
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
-            self._reset()
         s, out, table = 0, [], self.next
         for byte in data:
-            step = table[s].get(byte) or self._move(s, byte)
+            step = table[s].get(byte)
+            if step is None:
+                if len(self.states) >= MAX_STATES:  # inside a match too; only the threads go on
+                    threads = self.states[s]
+                    self._reset()
+                    s, table = self._state(threads), self.next
+                step = self._move(s, byte)
             s = step[0]
             if step[1]:
                 out += step[1]
@@ -174,12 +179,14 @@ class Encoder(dict):
     """Text to packed ids; as a dictionary, the ids of the pieces met so far."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = BYTE_LEVEL):
-        self.machine, self.split, self.ranks = Transducer(ranks), splitter(pattern), ranks
+        self.machine, self.split = Transducer(ranks), splitter(pattern)
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
-        whole = self.ranks.get(data)
-        out = array("I", [whole] if whole is not None else self.machine.encode(data)).tobytes()
+        ids = self.machine.encode(data)
+        if len(ids) > 1 and data in self.machine.ranks:  # a vocabulary string that its own merges don't reach is still one token
+            ids = [self.machine.ranks[data]]
+        out = array("I", ids).tobytes()
         if len(self) < MAX_PIECES and len(piece) <= PIECE_CHARS:
             self[piece] = out
         return out

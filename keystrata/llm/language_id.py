@@ -10,7 +10,9 @@ by the language's name.
 The score is 1 minus the ratio of the least distance to the second least (1 with one language).
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing was learned;
-null labels teach nothing; other columns pass through; columns of the names added here are replaced."""
+null labels and null texts teach nothing, repeated rows teach each time; each label has a profile, so the model
+is ``PROFILE`` numbers a distinct label; long texts are judged whole; repeated rows each get their result; an empty
+table stays empty; other columns pass through; columns of the names added here are replaced."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,8 +136,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     ship(docs.sparkSession)
     labelled = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
     counts = checkpoint(labelled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    names = [r["lang"] for r in counts.select("lang").distinct().collect()]
-    return {x: [r["gram"] for r in counts.where(F.col("lang") == x).orderBy(F.desc("n"), "gram").limit(size).collect()] for x in names}
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    profiles: dict[str, list[int]] = {}
+    for r in counts.withColumn("r", F.row_number().over(first)).where(F.col("r") <= size).orderBy("lang", "r").toLocalIterator():
+        profiles.setdefault(r["lang"], []).append(r["gram"])
+    return profiles
 
 
 def _predict(batches: Iterator[pa.RecordBatch], text: str, profiles: dict[str, list[int]], size: int, names: list[str]) -> Iterator[pa.RecordBatch]:

@@ -1,23 +1,30 @@
-"""Substring deduplication by equal windows, grouped by minimizer (no full suffix tree is built).
-
-Every window of ``min_words`` consecutive words is a suffix cut at that depth. Windows are brought
-together by a prefix that all equal windows share: the smallest of the hashes of the runs of
-``PREFIX`` words inside (a minimizer), so that one run of neighbouring windows travels as one
-*context*. The number of different contexts below each prefix is counted first. A prefix with few
-contexts (``GROUP`` at most) is one subtree, built in memory; below a larger one the prefix is
-lengthened to the whole window, where a node is a single leaf and a distributed minimum is enough.
-A subtree is refined level by level, from nodes at depth 1 to 2, 4, ... and last ``min_words``
-words; its nodes at that depth with more than one leaf are the repeats, each with the smallest id
-below it. Equal contexts meet in a map-side aggregate before anything is shuffled, so copies of a
-document cost one context however many there are.
+"""Substring deduplication by prefix-partitioned suffix trees.
+
+Every window of ``min_words`` consecutive words begins a suffix, and a repeat of that length or more is an internal
+node of the suffix tree at that depth or below. The tree isn't built whole: suffixes are split into groups that fit
+in memory, and each group's subtree is built alone.
+
+*Sampling.* Neighbouring windows that share a minimizer (the smallest hash of the runs of ``PREFIX`` words inside)
+travel as one string, their *context*; equal windows have equal minimizers, so they meet. Equal contexts are one by a
+map-side aggregate, so copies of a document cost one context however many there are. A minimizer whose contexts
+all lie in one document has no repeat; one with a single context is a single path. Neither needs a tree.
+
+*Groups.* The contexts of a minimizer are one group if there are ``group`` of them at most. Otherwise their suffixes are
+split by the words that they begin with, in steps of half as many more (8, 12, 18, ... words): at each step a prefix
+that only one document has is done, one with ``group`` suffixes at most is a group, and the others are
+lengthened. A prefix as long as a window is a single node, whose smallest id a distributed minimum gives.
+
+*Subtrees* are suffix arrays with the lengths of neighbours' common prefixes. The leaves below a deep internal node (of
+``min_words`` or more) are a repeat, and the smallest id among them is the source of the others.
 
 Defined results
 ---------------
 * A word goes if a window covering it also starts in a document with a smaller id. Windows are
   judged on the input. A window that repeats inside one document only stays.
 * Null or empty text, and texts of fewer than ``min_words`` words: nothing is removed.
-* Null id: the row is never a source and loses nothing. Rows with one id: each gets its own result,
-  and neither is a source for the other.
+* Null id: the row is never a source and loses nothing. Rows with one id, repeated rows too: each gets its own
+  result, and neither is a source for the other.
+* Long texts are read whole; a text is in one task.
 * Other columns pass through, whatever their names; columns of the names added here are replaced.
 """
 
@@ -33,12 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
-from ._spark import checkpoint, parallelism, rekeyed, replace_columns, ship, with_fields
+from ._spark import checkpoint, id_filter, parallelism, rekeyed, replace_columns, ship, through, with_fields
 
 PREFIX = 8
 GROUP = 4096
 #: Symbols of one in-memory subtree batch.
 TREE_SYMBOLS = 1 << 20
+#: Rows of one id are told apart by their texts' hashes, as far as a hot id needs to be spread.
+PRINTS = 1 << 16
 
 
 class Contexts:
@@ -59,9 +68,8 @@ class Contexts:
                 valid[a : b - min_words + 1] = True
         if not valid.any():
             return
-        total = X.prefix_sums(h)
         at = np.arange(n - k + 1)
-        grams = X.run_hash(total, at, at + k)
+        grams = X.run_hashes(h, at, k)
         keyed = (grams & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64) if n < 1 << 24 else grams
         low = self._sliding_min(keyed, span)
         if n < 1 << 24:
@@ -77,7 +85,7 @@ class Contexts:
         self.high = windows[np.append(lead[1:], len(windows)) - 1] + 1
         anchor = best[lead]
         self.prefix = grams[anchor]
-        self.name = X.run_hash(total, self.low, self.high + min_words - 1) ^ X.mix((anchor - self.low + 1).astype(np.uint64))
+        self.name = X.run_hashes(h, self.low, self.high - self.low + min_words - 1) ^ X.mix((anchor - self.low + 1).astype(np.uint64))
         self.text = np.searchsorted(w.first, self.low, "right") - 1
 
     @staticmethod
@@ -103,106 +111,163 @@ class Contexts:
 
 def _anchors(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, known = X.ids_of(batch.column(0))
-        for a, b, data, bounds in X.chunks(batch.column(1)):
+        ids, prints = X.ids_of(batch.column(0))[0], np.asarray(batch.column(1)).astype(np.int32)
+        for a, b, data, bounds in X.chunks(batch.column(2)):
             c = Contexts(data, bounds, min_words)
             owner = c.text + a
-            keep = known[owner]
-            key = np.stack([ids[owner[keep]].view(np.uint64), c.prefix[keep], c.name[keep]], axis=1)
-            if not len(key):
+            if not len(owner):
                 continue
+            key = np.stack([c.text.astype(np.uint64), c.prefix, c.name], axis=1)
             _, first = np.unique(key[:, 2] ^ X.mix(key[:, 0] ^ X.mix(key[:, 1])), return_index=True)
-            key = key[first]
-            yield pa.RecordBatch.from_arrays([X.signed(np.ascontiguousarray(key[:, i])) for i in (1, 2, 0)], names=["p", "c", "d"])
+            owner = owner[first]
+            yield pa.RecordBatch.from_arrays([X.signed(c.prefix[first]), X.signed(c.name[first]), X.signed(ids[owner]), pa.array(prints[owner])], names=["p", "c", "d", "k"])
 
 
-def _extract(batches: Iterator[pa.RecordBatch], min_words: int, group: int) -> Iterator[pa.RecordBatch]:
-    """Word hashes of the wanted contexts: whole ones for subtrees, single windows below long prefixes."""
-    names = ["g", "p", "c", "d", "i", "symbols"]
+def _extract(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Word hashes of the wanted contexts."""
     for batch in batches:
-        ids, _ = X.ids_of(batch.column(0))
-        wanted = batch.column(2)
+        ids, wanted = X.ids_of(batch.column(0))[0], batch.column(2)
         for a, b, data, bounds in X.chunks(batch.column(1)):
             c = Contexts(data, bounds, min_words)
-            total = X.prefix_sums(c.hashes)
             edges = np.searchsorted(c.text, np.arange(b - a + 1))
             rows: list[tuple] = []
-            single: list[np.ndarray] = []
             for row in range(a, b):
                 lo, hi = edges[row - a], edges[row - a + 1]
-                place = {(int(p), int(n)): j for j, (p, n) in enumerate(zip(c.prefix[lo:hi].view(np.int64).tolist(), c.name[lo:hi].view(np.int64).tolist()), lo)}
+                place = {(p, n): j for j, (p, n) in enumerate(zip(c.prefix[lo:hi].view(np.int64).tolist(), c.name[lo:hi].view(np.int64).tolist()), lo)}
                 want = wanted[row].values
                 for p, n, size in zip(want.field(0).to_pylist(), want.field(1).to_pylist(), want.field(2).to_pylist()):
                     j = place.get((p, n))
-                    if j is None:
-                        continue
-                    low, high = int(c.low[j]), int(c.high[j])
-                    if size <= group:
-                        rows.append((p, p, n, int(ids[row]), -1, c.hashes[low : high + min_words - 1].tobytes()))
-                    else:
-                        at = np.arange(low, high)
-                        leaf = X.run_hash(total, at, at + min_words).view(np.int64)
-                        single.append(np.stack([leaf, np.full(high - low, p), np.full(high - low, n), np.full(high - low, ids[row]), at - low], axis=1))
+                    if j is not None:
+                        rows.append((p, n, int(ids[row]), size, c.hashes[c.low[j] : c.high[j] + min_words - 1].tobytes()))
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:4]), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], names=names)
-            if single:
-                m = np.concatenate(single)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(m[:, i])) for i in range(4)), pa.array(m[:, 4].astype(np.int32)), pa.nulls(len(m), pa.binary())], names=names)
-
-
-def node_ids(symbols: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the generalised suffix tree of some strings at ``depth``.
-
-    Returns the start of every suffix that is long enough and its node's rank. Level by level: the
-    rank at depth 2h orders the pairs of ranks at depth h, so ranks follow the suffixes' order."""
-    ends = np.cumsum(lengths)
-    left = np.repeat(ends, lengths) - np.arange(len(symbols))  # symbols from here to the string's end
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    while have < depth:
-        step = min(have, depth - have)
-        to = have + step
-        here = np.flatnonzero(left >= to)
-        pair = rank[here] * (rank.max(initial=0) + 1) + rank[here + step]
-        fresh = np.zeros(len(rank), np.int64)
-        fresh[here] = np.unique(pair, return_inverse=True)[1]
-        rank, have = fresh, to
-    at = np.flatnonzero(left >= depth)
-    return at, rank[at]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:4]), pa.array(cols[4], pa.binary())], names=["p", "c", "d", "n", "symbols"])
+
+
+def ladder(min_words: int) -> list[int]:
+    """Lengths of prefixes, each half as long again as the one before; the last is a window."""
+    out = [min(PREFIX, min_words)]
+    while out[-1] < min_words:
+        out.append(min(min_words, out[-1] + max(1, out[-1] // 2)))
+    return out[1:] or out
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Each suffix of the contexts (p, c, d, symbols): its place, and the hashes of its prefixes of the ladder's lengths."""
+    steps = ladder(min_words)
+    for batch in batches:
+        for p, c, d, symbols in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            h = np.frombuffer(symbols, np.uint64)
+            at = np.arange(len(h) - min_words + 1)
+            keys = np.stack([X.run_hashes(h, at, n) for n in steps], axis=1).ravel()
+            full = lambda x: pa.array(np.full(len(at), x, np.int64))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([full(p), full(c), full(d), pa.array(at.astype(np.int32)), X.list_column(np.arange(len(at) + 1) * len(steps), X.signed(keys))], names=["p", "c", "d", "i", "keys"])
+
+
+class SuffixTree:
+    """The suffix tree of some strings as its leaves in order and the common lengths of neighbours.
+
+    Leaves are the suffixes of ``least`` symbols or more. Ranks at depth 2h order the pairs of ranks at
+    depth h; a suffix that has ended ranks before all that go on."""
+
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, least: int):
+        n = len(symbols)
+        ends = np.cumsum(lengths)
+        left = np.repeat(ends, lengths) - np.arange(n)
+        ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1]
+        most, have = int(lengths.max(initial=0)), 1
+        while have < most:
+            here, beyond = ranks[-1], np.zeros(n, np.int64)
+            on = np.flatnonzero(left > have)
+            beyond[on] = here[on + have]
+            ranks.append(np.unique(here * (n + 1) + beyond, return_inverse=True)[1].astype(np.int64) + 1)
+            have *= 2
+        leaves = np.flatnonzero(left >= least)
+        self.leaves = leaves[np.argsort(ranks[-1][leaves], kind="stable")]
+        self.string = np.searchsorted(ends, self.leaves, "right")
+        a, b = self.leaves[:-1].copy(), self.leaves[1:].copy()
+        self.common = np.zeros(len(a), np.int64)
+        for level in range(len(ranks) - 1, -1, -1):
+            # a rank of 2**level symbols is of whole symbols only where so many are left
+            ok = (left[np.minimum(a, n - 1)] >= 1 << level) & (left[np.minimum(b, n - 1)] >= 1 << level) & (self.common < np.minimum(left[self.leaves[:-1]], left[self.leaves[1:]]))
+            same = np.flatnonzero(ok)
+            same = same[ranks[level][a[same]] == ranks[level][b[same]]]
+            self.common[same] += 1 << level
+            a[same] += 1 << level
+            b[same] += 1 << level
+
+    def deep(self, depth: int) -> np.ndarray:
+        """For each leaf the topmost node of ``depth`` or more above it; a leaf that stands alone is its own."""
+        return np.cumsum(np.concatenate([[0], self.common < depth])) if len(self.leaves) else np.zeros(0, np.int64)
+
+    def maximal_repeats(self, symbols: np.ndarray, lengths: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+        """(length, starts) of the nodes of ``depth`` or more whose leaves don't all follow one symbol."""
+        out, n = [], len(self.leaves)
+        begins = np.zeros(len(symbols), bool)
+        begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        for length in np.unique(self.common[self.common >= depth]).tolist():
+            edges = np.flatnonzero(np.concatenate([[True], self.common < length, [True]]))
+            for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+                if hi - lo < 2 or self.common[lo : min(hi, n) - 1].min() != length:
+                    continue
+                starts = self.leaves[lo:hi]
+                before = {None if begins[s] else int(symbols[s - 1]) for s in starts.tolist()}
+                if len(before) > 1 or None in before:
+                    out.append((length, np.sort(starts)))
+        return out
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Smallest id below the node of each window, for rows sorted by group."""
+    """Smallest id below the deep node of each window, for rows (group, p, c, i, d, symbols) sorted by group."""
 
-    def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        symbols = [np.frombuffer(r[3], np.uint64) for r in rows]
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        symbols = [np.frombuffer(r[5], np.uint64) for r in rows]
         lengths = np.array([len(s) for s in symbols])
-        at, node = node_ids(np.concatenate(symbols), lengths, min_words)
-        string = np.searchsorted(np.cumsum(lengths), at, "right")
+        tree = SuffixTree(np.concatenate(symbols), lengths, min_words)
+        node = tree.deep(min_words)
         least = np.full(int(node.max(initial=-1)) + 1, X.MAX_ID)
-        np.minimum.at(least, node, np.array([r[2] for r in rows])[string])
-        count = lengths - min_words + 1
-        lists = X.list_column(np.concatenate([[0], np.cumsum(count)]), pa.array(least[node]))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), lists], names=["p", "c", "least"])
+        np.minimum.at(least, node, np.array([r[4] for r in rows])[tree.string])
+        order = np.argsort(tree.leaves)  # windows in the strings' order again
+        lists = X.list_column(np.concatenate([[0], np.cumsum(lengths - min_words + 1)]), pa.array(least[node[order]]))
+        return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))), lists], names=["p", "c", "i", "least"])
 
-    held: list[tuple[int, int, int, bytes]] = []
+    held: list[tuple] = []
     size = 0
     for batch in batches:
-        for g, n, d, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if size >= TREE_SYMBOLS and held and held[-1][0] != g:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if size >= TREE_SYMBOLS and held and held[-1][0] != row[0]:
                 yield solve(held)
                 held, size = [], 0
-            held.append((g, n, d, s))
-            size += len(s) // 8
+            held.append(row)
+            size += len(row[5]) // 8
     if held:
         yield solve(held)
 
 
+def _split(hot: DataFrame, min_words: int, group: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Suffixes below large minimizers: those in groups (group, p, c, i, d, symbols), and those that are one node (p, c, i, low)."""
+    suffixes = checkpoint(hot.select("p", "c", "d", "symbols").mapInArrow(lambda it: _prefixes(it, min_words), "p long, c long, d long, i int, keys array<long>"))
+    groups = None
+    steps = ladder(min_words)
+    for level in range(len(steps)):
+        g = F.xxhash64("p", F.col("keys")[level])
+        left = suffixes.withColumn("g", g)
+        sizes = left.groupBy("g").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
+        left = checkpoint(left.join(rekeyed(sizes.select("g", "low", "m"), "g"), "g"))
+        if level + 1 == len(steps):
+            return groups, left.select("p", "c", "i", "low")
+        fits = left.where(F.col("m") <= group).select("g", "p", "c", "i", "d")
+        groups = fits if groups is None else groups.unionByName(fits)
+        suffixes = left.where(F.col("m") > group).select("p", "c", "d", "i", "keys")
+        if suffixes.isEmpty():
+            return groups, None
+    return groups, None
+
+
 def _cut(batches: Iterator[pa.RecordBatch], min_words: int, text_at: int, names: list[str], text: str, out: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, known = X.ids_of(batch.column(batch.schema.get_field_index("_ss_id")))
-        hits = batch.column(batch.schema.get_field_index("_ss_hits"))
+        hits = batch.column(batch.schema.get_field_index("_ss_hits")) if "_ss_hits" in batch.schema.names else None
         column = batch.column(text_at)
         valid = np.asarray(column.is_valid())
         n_words, n_removed, digest, kept = [], [], [], []
@@ -212,18 +277,19 @@ def _cut(batches: Iterator[pa.RecordBatch], min_words: int, text_at: int, names:
             edges = np.searchsorted(c.text, np.arange(b - a + 1))
             gone = np.zeros(len(w.starts) + 1, np.int64)
             for row in range(a, b):
-                if not hits[row].is_valid:
+                if hits is None or not hits[row].is_valid:
                     continue
                 lo, hi = edges[row - a], edges[row - a + 1]
                 place: dict = {}
                 for j in range(lo, hi):
                     place.setdefault((int(c.prefix[j].view(np.int64)), int(c.name[j].view(np.int64))), []).append(j)
                 found = hits[row].values
-                for p, n, least in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), found.field(2)):
+                for p, n, places, least in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), found.field(2), found.field(3)):
                     for j in place.get((p, n), ()):
                         low, high = int(c.low[j]), int(c.high[j])
                         if least.is_valid:
-                            at = low + np.flatnonzero(np.asarray(least.values) < ids[row])
+                            at = np.flatnonzero(np.asarray(least.values) < ids[row])
+                            at = low + (np.asarray(places.values)[at] if places.is_valid else at)
                             np.add.at(gone, at, 1)
                             np.add.at(gone, at + min_words, -1)
                         else:
@@ -266,37 +332,48 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
     ``group`` is the number of contexts up to which a prefix is one in-memory subtree."""
     spark = docs.sparkSession
     ship(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    known = slim.where(F.col("d").isNotNull())
-    anchors = known.mapInArrow(lambda it: _anchors(it, min_words), "p long, c long, d long")
-    contexts = checkpoint(anchors.groupBy("p", "c").agg(F.min("d").alias("least"), F.max("d").alias("most")))
-    prefixes = contexts.groupBy("p").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("p", "n")
-    shared = checkpoint(contexts.join(rekeyed(prefixes, "p"), "p").select("p", "c", "least", "n"))
+    ident, print_ = F.col(id_col).cast("long"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(PRINTS)).cast("int")
+    known = docs.select(ident.alias("d"), print_.alias("k"), F.col(text_col).alias("t")).where(F.col("d").isNotNull())
+    anchors = known.mapInArrow(lambda it: _anchors(it, min_words), "p long, c long, d long, k int")
+    contexts = checkpoint(anchors.groupBy("p", "c").agg(F.min(F.struct("d", "k")).alias("first"), F.max("d").alias("most")))
+    prefixes = contexts.groupBy("p").agg(F.min("first.d").alias("lo"), F.max("most").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("p", "n")
+    shared = checkpoint(contexts.join(rekeyed(prefixes, "p"), "p").select("p", "c", "first.d", "first.k", "n"))
     del contexts, prefixes  # with the last reference their files go
 
-    wanted = shared.where("n > 1").groupBy("least").agg(F.collect_list(F.struct("p", "c", "n")).alias("want"))
-    pieces = checkpoint(
-        known.join(wanted, F.col("d") == F.col("least")).select("d", "t", "want").mapInArrow(lambda it: _extract(it, min_words, group), "g long, p long, c long, d long, i int, symbols binary")
-    )
-    trees = (
-        pieces.where("i < 0").select("g", "c", "d", "symbols").repartition(parallelism(spark), "g").sortWithinPartitions("g")
-        .mapInArrow(lambda it: _subtrees(it, min_words), "p long, c long, least array<long>")
-    )
-    leaves = pieces.where("i >= 0").select("g", "p", "c", "i", "d").distinct()
-    lowest = leaves.groupBy("g").agg(F.min("d").alias("low"))
-    long_prefix = leaves.join(rekeyed(lowest, "g"), "g").groupBy("p", "c").agg(F.transform(F.sort_array(F.collect_set(F.struct("i", "low"))), lambda x: x["low"]).alias("least"))
-    alone = shared.where("n = 1").select("p", "c", "least", F.lit(None).cast("array<long>").alias("nodes"))
-    nodes = alone.unionByName(
-        trees.unionByName(long_prefix).select("p", "c", F.array_min("least").alias("least"), F.col("least").alias("nodes"))
-    )
-    hits = (
-        anchors.join(nodes, ["p", "c"]).where("least < d").groupBy("d")
-        .agg(F.collect_list(F.struct("p", "c", "nodes")).alias("_ss_hits")).withColumnRenamed("d", "_ss_key")
+    wanted = shared.where("n > 1").groupBy("d", "k").agg(F.collect_list(F.struct("p", "c", "n")).alias("want"))
+    sources = through(known, id_filter(shared.where("n > 1"), "d"), "d")
+    pieces = checkpoint(sources.join(wanted, ["d", "k"]).select("d", "t", "want").mapInArrow(lambda it: _extract(it, min_words), "p long, c long, d long, n long, symbols binary").dropDuplicates(["p", "c"]))
+    whole = pieces.where(F.col("n") <= group).select(F.col("p").alias("g"), "p", "c", F.lit(-1).alias("i"), "d", "symbols")
+    hot = pieces.where(F.col("n") > group)
+    split = None
+    if not hot.isEmpty():
+        groups, single = _split(hot, min_words, group)
+        if groups is not None:
+            words_ = F.substring("symbols", F.col("i") * 8 + 1, F.lit(8 * min_words))
+            whole = whole.unionByName(groups.join(hot.select("p", "c", "symbols"), ["p", "c"]).select("g", "p", "c", "i", "d", words_.alias("symbols")))
+        split = single
+    trees = whole.repartition(parallelism(spark), "g").sortWithinPartitions("g").mapInArrow(lambda it: _subtrees(it, min_words), "p long, c long, i int, least array<long>")
+    if not hot.isEmpty():
+        trees = checkpoint(trees)
+    nodes = trees.where("i < 0").select("p", "c", F.array_min("least").alias("least"), F.lit(None).cast("array<int>").alias("at"), F.col("least").alias("nodes"))
+    parts = trees.where("i >= 0").select("p", "c", "i", F.col("least")[0].alias("low"))
+    parts = (parts if split is None else parts.unionByName(split)).groupBy("p", "c").agg(F.sort_array(F.collect_list(F.struct("i", "low"))).alias("x"))
+    nodes = nodes.unionByName(parts.select("p", "c", F.array_min("x.low").alias("least"), F.col("x.i").alias("at"), F.col("x.low").alias("nodes")))
+    # a context that a smaller id has goes whole; what its source loses, the trees tell
+    sources_of = shared.select("p", "c", F.col("d").alias("source")).join(nodes, ["p", "c"], "left")
+    later = F.col("source") < F.col("d")
+    hits = checkpoint(
+        anchors.join(sources_of, ["p", "c"]).where(later | (F.col("least") < F.col("d")))
+        .select("d", "k", F.struct("p", "c", F.when(~later, F.col("at")).alias("at"), F.when(~later, F.col("nodes")).alias("nodes")).alias("x"))
+        .groupBy(F.col("d").alias("_ss_key"), F.col("k").alias("_ss_print")).agg(F.collect_set("x").alias("_ss_hits"))
     )
     added = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
     base = docs.drop(*[c for c in added if c in docs.columns])
-    joined = base.withColumn("_ss_id", F.col(id_col).cast("long")).join(hits, F.col("_ss_id") == F.col("_ss_key"), "left").drop("_ss_key")
-    text_at = joined.columns.index(text_col)
+    marked = base.withColumns({"_ss_id": ident, "_ss_own": print_})
     schema = with_fields(T.StructType([f for f in base.schema.fields if keep_text or f.name != text_col]), *added.items())
-    names = schema.names
-    return joined.mapInArrow(lambda it: _cut(it, min_words, text_at, names, text_col, text_col if keep_text else None), schema)
+    names, text_at, out = schema.names, base.columns.index(text_col), text_col if keep_text else None
+    found = id_filter(hits, "_ss_key")
+    # texts without a hit stay where they are
+    touched = through(marked, found, "_ss_id").join(hits, (F.col("_ss_id") == F.col("_ss_key")) & (F.col("_ss_own") == F.col("_ss_print")), "left").select(marked.columns + ["_ss_hits"])
+    cut = lambda df: df.mapInArrow(lambda it: _cut(it, min_words, text_at, names, text_col, out), schema)
+    return cut(touched).unionByName(cut(through(marked, found, "_ss_id", listed=False)))

@@ -1,20 +1,20 @@
 """Token counts with a whole-token shortcut.
 
-Once for each vocabulary it is proved which of its strings encode alone: the split pattern leaves
+Once for each vocabulary, on the driver, it is proved which of its strings encode alone: the split pattern leaves
 the string in one piece and the merges bring it back to one token. Pieces of a text that are among
 them count one without any merging; only the rest is merged. Counts of pieces met before are kept
 (``MAX_PIECES``). Added special tokens are found in the text first and count one each, as the
 library does by default.
 
-Defined results: null text counts as empty (no tokens); other columns pass through; columns of the
-names added here are replaced."""
+Defined results: null text counts as empty (no tokens); long texts are counted whole; repeated rows each get
+their result; an empty table stays empty; other columns pass through; columns of the names added here are
+replaced."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +35,8 @@ def byte_alphabet() -> dict[str, int]:
 class Counter(dict):
     """Tokens of a text; as a dictionary, the counts of the pieces proved or met so far."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proved: frozenset[str] | None = None):
+        """``proved``: vocabulary strings that encode alone as one token, if they are known already."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
@@ -48,7 +49,12 @@ class Counter(dict):
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.split = splitter(BYTE_LEVEL)
-        for s in model["vocab"]:
+        self.proved = frozenset(self._alone(model["vocab"], raw, special)) if proved is None else proved
+        self.update(dict.fromkeys(self.proved, 1))
+        self.room = len(self) + MAX_PIECES
+
+    def _alone(self, vocabulary: Iterable[str], raw: Callable[[str], bytes], special: list[str]) -> Iterator[str]:
+        for s in vocabulary:
             if s in special:
                 continue
             try:
@@ -56,8 +62,7 @@ class Counter(dict):
             except UnicodeDecodeError:
                 continue  # no text has it as a piece
             if self.split(piece) == [piece] and len(self._merged(piece.encode())) == 1:
-                self[piece] = 1
-        self.room = len(self) + MAX_PIECES
+                yield piece
 
     def _merged(self, data: bytes) -> list[bytes]:
         return merge([data[i : i + 1] for i in range(len(data))], lambda a, b: self.rank.get((a, b)), lambda a, b: a + b)
@@ -74,13 +79,17 @@ class Counter(dict):
         return len(self.special.findall(text)) + sum(sum(map(self.__getitem__, self.split(part))) for part in self.special.split(text))
 
 
-@lru_cache(2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str, proved: frozenset[str] | None = None) -> Counter:
+    if path not in _counters:
+        _counters[path] = Counter(path, proved)
+    return _counters[path]
 
 
-def _counts(batches: Iterator[pa.RecordBatch], text: str, path: str, limit: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    c = counter(path)
+def _counts(batches: Iterator[pa.RecordBatch], text: str, path: str, proved, limit: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    c = counter(path, proved.value)
     for batch in batches:
         n_bytes, n_tokens = [], []
         for x in batch.column(batch.schema.get_field_index(text)):
@@ -95,4 +104,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str =
     ship(docs.sparkSession)
     schema = with_fields(docs.schema, ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()))
     names = schema.names
-    return docs.mapInArrow(lambda it: _counts(it, text_col, path, limit, names), schema)
+    proved = docs.sparkSession.sparkContext.broadcast(counter(path).proved)  # once, here; a vocabulary's strings at most
+    return docs.mapInArrow(lambda it: _counts(it, text_col, path, proved, limit, names), schema)

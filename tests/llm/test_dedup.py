@@ -5,9 +5,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from keystrata.llm import _text as text
 from keystrata.llm import line_dedup, minhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,7 +67,7 @@ def corpus(seed, docs, n):
     return rows
 
 
-@pytest.mark.parametrize("group", [4096, 2])
+@pytest.mark.parametrize("group", [4096, 12, 2])
 @pytest.mark.parametrize("n", [50, 9])
 def test_substrings(frame, n, group):
     rows = [*corpus(n, 120, n), (500, None), (501, ""), (502, "one"), (None, " ".join(f"w{i}" for i in range(60)))]
@@ -92,6 +94,66 @@ def test_substrings_keep_white_space_and_long_texts(frame):
     assert substring_dedup.dedup_substrings(frame([]), 50).count() == 0
 
 
+def test_suffix_tree():
+    """Deep nodes and maximal repeats against brute force."""
+    rng = random.Random(3)
+    for trial in range(60):
+        strings = [[rng.randint(0, 1 + trial % 3) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 5))]
+        symbols, lengths = np.array([x for t in strings for x in t], np.uint64), np.array([len(t) for t in strings])
+        owner = np.repeat(np.arange(len(strings)), lengths)
+        ends = np.cumsum(lengths)[owner]
+        for depth in (1, 2, 3):
+            tree = substring_dedup.SuffixTree(symbols, lengths, depth)
+            at = [i for i in range(len(symbols)) if ends[i] - i >= depth]
+            assert sorted(tree.leaves.tolist()) == at and tree.string.tolist() == owner[tree.leaves].tolist()
+            by_prefix = defaultdict(set)
+            for i in at:
+                by_prefix[tuple(symbols[i : i + depth].tolist())].add(i)
+            by_node = defaultdict(set)
+            for i, node in zip(tree.leaves.tolist(), tree.deep(depth).tolist()):
+                by_node[node].add(i)
+            assert sorted(map(sorted, by_node.values())) == sorted(map(sorted, by_prefix.values()))
+            want = set()
+            for n in range(depth, 15):
+                groups = defaultdict(list)
+                for i in range(len(symbols)):
+                    if ends[i] - i >= n:
+                        groups[tuple(symbols[i : i + n].tolist())].append(i)
+                for starts in groups.values():
+                    left = {None if i == 0 or owner[i - 1] != owner[i] else int(symbols[i - 1]) for i in starts}
+                    right = {None if i + n == ends[i] else int(symbols[i + n]) for i in starts}
+                    if len(starts) > 1 and (len(left) > 1 or None in left) and (len(right) > 1 or None in right):
+                        want.add((n, tuple(starts)))
+            assert {(n, tuple(s.tolist())) for n, s in tree.maximal_repeats(symbols, lengths, depth)} == want
+
+
+# hashes
+
+
+def thue_morse(n, a, b):
+    """A sequence and its complement, on which polynomial hashes modulo powers of two agree."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [b if x else a for x in bits], [a if x else b for x in bits]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_and_lines_that_polynomials_confuse(frame, n):
+    x, y = ("".join(t) for t in thue_morse(n, "a", "b"))
+    rest = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*rest[:25], x, *rest[25:]])), (2, " ".join([*rest[:25], y, *rest[25:]])), (3, x), (4, y), (5, f"{x} own words of five"), (6, f"{y} own words of five")]
+    got = substring_dedup.dedup_substrings(frame(rows[:2]), 50).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0}
+    want = brute_components(rows)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(rows)).collect()} == {d: root for d, (_, root) in want.items()}
+    got = line_dedup.dedup_lines(frame([(1, x), (2, y), (3, f"own\n{y}")])).collect()
+    assert {r.doc_id: r.n_lines_removed for r in got} == {1: 0, 2: 0, 3: 1}
+    p, q = thue_morse(n, "one", "two")
+    got = substring_dedup.dedup_substrings(frame([(1, " ".join(p)), (2, " ".join(q))]), n).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0}
+    data = np.frombuffer(f"{x} {y}".encode(), np.uint8)
+    assert len(set(text.words(data, np.array([0, len(data)])).hashes().tolist())) == 2
+
+
 # line dedup
 
 

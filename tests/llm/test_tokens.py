@@ -58,13 +58,13 @@ def test_transducer_alone(coder):
 
 def test_states_begin_anew(coder, monkeypatch):
     monkeypatch.setattr(byte_bpe, "MAX_STATES", 50)
-    machine = byte_bpe.Transducer(coder[0].ranks)
+    machine = byte_bpe.Transducer(coder[0].machine.ranks)
     for w in ("internationalisation", "counterrevolutionary", "antidisestablishment"):
         assert machine.encode(w.encode()) == list(LIBRARY._encode_single_piece(w.encode()))
 
 
 def test_broken_utf8_decodes_to_replacements(coder):
-    ranks, decoder = coder[0].ranks, coder[1]
+    ranks, decoder = coder[0].machine.ranks, coder[1]
     ids = [ranks[b"\xc3"], ranks[b"a"], ranks[b"\xe2"], ranks[b"\x82"], ranks[b"\xac"], ranks[b"\xff"]]
     assert decoder.feed(ids) + decoder.finish() == b"\xc3a\xe2\x82\xac\xff".decode("utf-8", "replace")
 
