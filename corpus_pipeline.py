@@ -6,7 +6,6 @@ return the columns of documents."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import line_dedup, minhash, packing, quality, substring_dedup
+from keystrata.llm._spark import shared_folder
 from keystrata.llm.queries import END_ID
 
 #: SQL can't express tokenisation and packing; tests/llm holds the stages against brute force.
@@ -59,9 +59,7 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again."""
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline_")
-    folder = os.path.join(top, f"pipeline_{uuid.uuid4().hex}")
+    folder = os.path.join(shared_folder(spark), f"pipeline_{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
