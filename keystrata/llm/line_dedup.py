@@ -1,34 +1,35 @@
 """Line deduplication by pairwise alignment.
 
-Each line that can be an anchor (``min_bytes`` or more, holding a word) names the document with the
-smallest id that has it; so overlapping documents are found with one link for each document and line,
-however many documents share the line. A document is aligned with its partners by patience diff,
-in the order of the rarest line that they share, then of their ids; a partner is passed over when
-every anchor that they share has gone already. Aligned blocks that hold an anchor are deleted
-from the later document, short lines and blank ones inside the block included. The first holder of
-a line never loses it, for no earlier document has it to align with.
-
-With ``further``, anchors that the first holders leave are carried on: the document is aligned with
-the second holder of each such line, then the third and so on, until the line goes or no earlier holder
-is left (of one rank, in the order of ids). Only the lines that stay write such links, and only as far
-as they stay.
+Lines of ``min_bytes`` or more that hold a word can be anchors; the second, third, ... time that a document has a
+line are lines of their own, so an anchor is unique in every document. Overlapping documents are found through shared
+anchors: each names the document with the smallest id that has it, so there is one link for each document and
+line, however many documents share the line.
+
+A document is aligned with its partners by patience diff, in the order of the rarest anchor that they share, then of
+their ids: the longest chain of anchors that are in the same order in both, and around each link of the chain the
+equal lines beside it, short and blank ones too. These blocks are deleted from the later document, and the
+two are aligned again while an anchor that they share is left, for lines that cross are never in one chain. So an anchor
+goes exactly if an earlier document has it, whichever document that is, and one alignment at least deletes it with
+its block.
+
+A partner isn't sent whole. The document's lines go to the partner, and what comes back are the partner's lines that
+the document has, with a mark for each gap: so a long file is sent once, and a document gathers as many
+partners as it has anchors at most, with the lines it shares with them.
 
 Defined results
 ---------------
 * Lines are what ``\\n`` separates, compared byte by byte.
-* Null or empty text: no lines, nothing removed; null stays null.
-* Null id: the row is no one's partner and loses nothing. Rows with one id: neither is earlier; one of
-  them, the greater by its lines' hashes, stands for the id as a partner.
-* Other columns pass through; columns of the names added here are replaced.
+* Null or empty text: no lines, nothing removed; null stays null. Long texts are read whole, in one task.
+* Null id: the row is no one's partner and loses nothing. Rows with one id, repeated rows too: neither is earlier,
+  each gets its own result; of several texts that hold a line under the smallest id, one is the partner.
+* Other columns pass through; columns of the names added here are replaced. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
-from ._spark import checkpoint, rekeyed, replace_columns, ship, with_fields
+from ._spark import checkpoint, id_filter, rekeyed, replace_columns, ship, through, with_fields
 
 MIN_BYTES = 20
-#: Further holders of a line that a document meets at once, at most.
-FURTHER = 64
+#: Stands for a run of a partner's lines that the document hasn't.
+GAP = np.uint64(0)
 
 
 class Lines:
@@ -68,6 +69,19 @@ class Lines:
         self.anchor = (self.ends - self.starts >= min_bytes) & (solid[self.ends] > solid[self.starts])
 
 
+def numbered(lines: np.ndarray) -> np.ndarray:
+    """Hashes that tell apart the times that one document has a line; the first time keeps the line's own."""
+    order = np.argsort(lines, kind="stable")
+    ranked = lines[order]
+    new = np.ones(len(lines), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    time = np.arange(len(lines)) - np.maximum.accumulate(np.where(new, np.arange(len(lines)), 0))
+    out = lines.copy()
+    again = time > 0
+    out[order[again]] = X.mix(ranked[again] + time[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
 def _sequences(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
     """All line hashes of each document, packed, and which of them are anchors."""
     for batch in batches:
@@ -78,175 +92,89 @@ def _sequences(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(packed, pa.binary()), pa.array(can, pa.binary())], names=["d", "k", "lines", "can"])
 
 
-def _unpacked(lines: bytes, *bits: bytes) -> list:
-    own = np.frombuffer(lines, np.uint64)
-    return [own.tolist(), *(np.unpackbits(np.frombuffer(x, np.uint8), count=len(own)).astype(bool).tolist() for x in bits)]
+def _anchors(can: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(can, np.uint8), count=count).astype(bool)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor lines: (hash, id), once a document."""
+    """Anchors: (hash, id, text's hash), each once a document."""
     for batch in batches:
         if not batch.num_rows:
             continue
         found = []
-        for lines, can in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
-            own = np.frombuffer(lines, np.int64)
-            found.append(np.unique(own[np.unpackbits(np.frombuffer(can, np.uint8), count=len(own)).astype(bool)]))
-        d = np.repeat(np.asarray(batch.column(0)), [len(x) for x in found])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(d)], names=["h", "d"])
-
-
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned pairs of places of two sequences by patience diff, in order."""
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        i, m, j, n = todo.pop()
-        while i < m and j < n and a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        while i < m and j < n and a[m - 1] == b[n - 1]:
-            m, n = m - 1, n - 1
-            out.append((m, n))
-        if i >= m or j >= n:
-            continue
-        in_a, in_b = Counter(a[i:m]), Counter(b[j:n])
-        at = {x: y for y, x in enumerate(b[j:n], j) if in_b[x] == 1}
-        pairs = [(x, at[a[x]]) for x in range(i, m) if in_a[a[x]] == 1 and a[x] in at]
-        if not pairs:
-            continue
-        tops: list[int] = []
-        heads: list[int] = []
-        back: list[int] = []
-        for k, (_, y) in enumerate(pairs):
-            p = bisect_left(tops, y)
-            tops[p : p + 1], heads[p : p + 1] = [y], [k]
-            back.append(heads[p - 1] if p else -1)
-        k, chain = heads[-1], []
-        while k >= 0:
-            chain.append(pairs[k])
-            k = back[k]
-        edge = (i, j)
-        for x, y in reversed(chain):
-            todo.append((edge[0], x, edge[1], y))
-            out.append((x, y))
-            edge = (x + 1, y + 1)
-        todo.append((edge[0], m, edge[1], n))
-    return sorted(out)
-
-
-def align(own: list[int], anchor: list[bool], gone: list[bool], other: list[int]) -> None:
-    """Mark as gone the aligned blocks of a document and one partner that hold an anchor."""
-    block: list[int] = []
-    before = None
-    for x, y in [*patience(own, other), (-1, -1)]:
-        if before is not None and (x, y) != (before[0] + 1, before[1] + 1):
-            if any(anchor[i] for i in block):
-                for i in block:
-                    gone[i] = True
-            block = []
-        block.append(x)
-        before = x, y
-
-
-def aligned_blocks(own: list[int], anchor: list[bool], partners: list[list[int]]) -> list[bool]:
-    """Which of a document's lines go, given its partners' lines in order."""
-    gone = [False] * len(own)
-    for other in partners:
-        there = set(other)
-        if all(gone[i] or not anchor[i] or x not in there for i, x in enumerate(own)):
-            continue
-        align(own, anchor, gone, other)
-    return gone
-
-
-_STATE = "d long, k long, lines binary, can binary, gone binary, removed int, stay array<long>"
+        for lines, can in zip(*(batch.column(i).to_pylist() for i in (2, 3))):
+            own = np.frombuffer(lines, np.uint64)
+            found.append(numbered(own)[_anchors(can, len(own))])
+        many = [len(x) for x in found]
+        d, k = (np.repeat(np.asarray(batch.column(i)), many) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([X.signed(np.concatenate(found)), pa.array(d), pa.array(k)], names=["h", "d", "k"])
 
 
-def _state(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"d": pa.int64(), "k": pa.int64(), "lines": pa.binary(), "can": pa.binary(), "gone": pa.binary(), "removed": pa.int32(), "stay": pa.list_(pa.int64())}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
-
-
-def _stay(own: list[int], anchor: list[bool], gone: list[bool], among: set[int]) -> list[int]:
-    left = {x for i, x in enumerate(own) if anchor[i] and not gone[i] and x in among}
-    return np.array(sorted(left), np.uint64).view(np.int64).tolist()
-
-
-def _align_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents aligned with the first holders; ``stay`` has the anchors that are left though an earlier document holds them."""
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partners' lines as far as the document has them, with a mark for each gap."""
     for batch in batches:
         out = []
-        for d, k, lines, can, links in zip(*(batch.column(i) for i in range(5))):
-            own, anchor = _unpacked(lines.as_py(), can.as_py())
-            found = links.values
-            order = sorted(zip(found.field(0).to_pylist(), found.field(1).to_pylist(), found.field(2)), key=lambda x: x[:2])
-            partners = [np.frombuffer(x[2].as_py(), np.uint64).tolist() for x in order]
-            gone = aligned_blocks(own, anchor, partners)
-            stay = _stay(own, anchor, gone, set().union(*partners))
-            out.append((d.as_py(), k.as_py(), lines.as_py(), can.as_py(), np.packbits(gone).tobytes(), sum(gone), stay))
-        yield _state(out)
+        for own, other in zip(batch.column(4), batch.column(5)):
+            a, b = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
+            b = np.where(np.isin(b, a), b, GAP)
+            out.append(b[np.concatenate([[True], (b[1:] != GAP) | (b[:-1] != GAP)])].tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out, pa.binary())], names=["d", "k", "df", "e", "other"])
+
+
+def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs, which ascend in the first place, that ascends in the second too."""
+    tops: list[int] = []
+    heads: list[int] = []
+    back: list[int] = []
+    for k, (_, y) in enumerate(pairs):
+        p = bisect_left(tops, y)
+        tops[p : p + 1], heads[p : p + 1] = [y], [k]
+        back.append(heads[p - 1] if p else -1)
+    k, out = heads[-1] if heads else -1, []
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def aligned_blocks(own: np.ndarray, anchor: np.ndarray, partners: list[np.ndarray]) -> np.ndarray:
+    """Which of a document's lines go, given its partners' lines in order."""
+    gone = np.zeros(len(own), bool)
+    mine, names = own.tolist(), numbered(own).tolist()
+    for partner in partners:
+        other = partner.tolist()
+        place = {x: y for y, x in enumerate(numbered(partner).tolist())}
+        while pairs := [(i, place[names[i]]) for i in np.flatnonzero(anchor & ~gone).tolist() if names[i] in place]:
+            run = chain(pairs)
+            edges = [(-1, -1), *run, (len(mine), len(other))]
+            for (i0, j0), (i, j), (i1, j1) in zip(edges, edges[1:], edges[2:]):
+                gone[i] = True
+                x, y = i - 1, j - 1
+                while x > i0 and y > j0 and mine[x] == other[y]:
+                    gone[x] = True
+                    x, y = x - 1, y - 1
+                x, y = i + 1, j + 1
+                while x < i1 and y < j1 and mine[x] == other[y]:
+                    gone[x] = True
+                    x, y = x + 1, y + 1
+    return gone
 
 
-def _align_further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents aligned with further holders, by rank and id, each only while a line that led to it is left."""
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d, k, which lines go) of documents with their links (df, e, partner's lines)."""
     for batch in batches:
         out = []
-        for d, k, lines, can, mask, stay, links in zip(*(batch.column(i) for i in range(7))):
-            own, anchor, gone = _unpacked(lines.as_py(), can.as_py(), mask.as_py())
-            among = set(np.array(stay.as_py(), np.int64).view(np.uint64).tolist())
-            steps: dict[tuple[int, int], set[int]] = {}
-            other = {}
-            for link in links.as_py():
-                other[link["e"]] = link["lines"]
-                for x in link["by"]:
-                    steps.setdefault((x["r"], link["e"]), set()).add(x["h"] % (1 << 64))
-            for (_, e), by in sorted(steps.items()):
-                if any(x in by and not gone[i] for i, x in enumerate(own)):
-                    align(own, anchor, gone, np.frombuffer(other[e], np.uint64).tolist())
-            out.append((d.as_py(), k.as_py(), lines.as_py(), can.as_py(), np.packbits(gone).tobytes(), sum(gone), _stay(own, anchor, gone, among)))
-        yield _state(out)
-
-
-def _ranked(lines: DataFrame) -> DataFrame:
-    """(h, e, r): the holders of each line and their rank from 0, by one distributed sort, so that a hot line's
-    holders are never in one place."""
-    placed = checkpoint(lines.orderBy("h", "d").withColumn("i", F.monotonically_increasing_id()))
-    part = F.shiftright("i", 33)
-    before, offsets = 0, []
-    for p, n in sorted(tuple(r) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect()):  # a row for each partition
-        offsets.append((p, before))
-        before += n
-    begin = lines.sparkSession.createDataFrame(offsets, "p long, before long")
-    at = placed.withColumn("p", part).join(F.broadcast(begin), "p").select("h", F.col("d").alias("e"), (F.col("before") + F.col("i") - F.shiftleft("p", 33)).alias("at"))
-    first = at.groupBy("h").agg(F.min("at").alias("first"))
-    return at.join(rekeyed(first, "h"), "h").select("h", "e", (F.col("at") - F.col("first")).alias("r"))
-
-
-def _further(state: DataFrame, lines: DataFrame, partners: DataFrame) -> list[DataFrame]:
-    """States of the documents that the further holders change, each document once."""
-    left = state.where(F.size("stay") > 0)
-    wanted = left.select(F.explode("stay").alias("h")).groupBy("h").agg(F.lit(1).alias("one")).drop("one")
-    ranked = checkpoint(_ranked(rekeyed(lines.join(rekeyed(wanted, "h"), "h"), "h").distinct()))
-    own = ranked.select(F.col("h"), F.col("e").alias("d"), F.col("r").alias("n"))
-    done, lo, width = [], 1, 1
-    while True:
-        # of each line that stays, the holders of rank lo and on; n of them are earlier than the document
-        open_ = checkpoint(left.select("d", "k", F.explode("stay").alias("h")).join(own, ["h", "d"]).where(F.col("n") > lo))
-        active = open_.select("d", "k").distinct()
-        done.append(left.join(active, ["d", "k"], "left_anti"))
-        if open_.isEmpty():
-            return done
-        steps = open_.withColumn("r", F.explode(F.sequence(F.lit(lo).cast("long"), F.least(F.col("n"), F.lit(lo + width)) - 1)))
-        by = steps.join(ranked, ["h", "r"]).groupBy("d", "k", "e").agg(F.collect_list(F.struct("r", "h")).alias("by"))
-        links = by.join(rekeyed(partners, "e"), "e").groupBy("d", "k").agg(F.collect_list(F.struct("e", "by", "lines")).alias("links"))
-        left = checkpoint(left.join(links, ["d", "k"]).select("d", "k", "lines", "can", "gone", "stay", "links").mapInArrow(_align_further, _STATE))
-        lo, width = lo + width, min(4 * width, FURTHER)
+        for lines, can, links in zip(*(batch.column(i) for i in (2, 3, 4))):
+            own = np.frombuffer(lines.as_buffer(), np.uint64)
+            found = links.values
+            order = sorted(zip(found.field(0).to_pylist(), found.field(1).to_pylist(), found.field(2)), key=lambda x: (x[0], x[1], x[2].as_py()))
+            out.append(np.packbits(aligned_blocks(own, _anchors(can.as_py(), len(own)), [np.frombuffer(x[2].as_buffer(), np.uint64) for x in order])).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["_ld_key", "_ld_print", "_ld_gone"])
 
 
 def _delete(batches: Iterator[pa.RecordBatch], min_bytes: int, text_at: int, text: str, names: list[str], keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        masks = batch.column(batch.schema.get_field_index("_ld_gone")).to_pylist()
+        masks = batch.column(batch.schema.get_field_index("_ld_gone")).to_pylist() if "_ld_gone" in batch.schema.names else [None] * batch.num_rows
         column = batch.column(text_at)
         n_lines, n_removed, digest, kept = [], [], [], []
         for a, b, data, bounds in X.chunks(column):
@@ -268,8 +196,8 @@ def _delete(batches: Iterator[pa.RecordBatch], min_bytes: int, text_at: int, tex
         yield replace_columns(batch, names, **new)
 
 
-def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, further: bool = False) -> DataFrame:
-    """``docs`` without the lines that align with an earlier document: the first holder of each line, or any with ``further``.
+def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` without the lines that align with an earlier document.
 
     Adds n_lines, n_lines_removed and lines_sha256 (of the text that is left); ``text_col`` holds that
     text, or is dropped with ``keep_text=False``."""
@@ -278,21 +206,21 @@ def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_
     known = docs.select(ident.alias("d"), print_.alias("k"), F.col(text_col).alias("t")).where(F.col("d").isNotNull())
     sequences = known.mapInArrow(lambda it: _sequences(it, min_bytes), "d long, k long, lines binary, can binary").where(F.length("lines") > 0)
     sequences = checkpoint(sequences.groupBy("d", "k").agg(F.max("lines").alias("lines"), F.max("can").alias("can")))
-    partners = sequences.groupBy(F.col("d").alias("e")).agg(F.max("lines").alias("lines"))
-    lines = sequences.select("d", "lines", "can").mapInArrow(_shared, "h long, d long")
-    holders = lines.groupBy("h").agg(F.min("d").alias("e"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    pairs = checkpoint(lines.join(rekeyed(holders, "h"), "h").where("e < d").groupBy("d", "e").agg(F.min("df").alias("df")))
-    links = pairs.join(rekeyed(partners, "e"), "e").groupBy("d").agg(F.collect_list(F.struct("df", "e", "lines")).alias("links"))
-    state = checkpoint(sequences.join(links, "d").select("d", "k", "lines", "can", "links").mapInArrow(_align_first, _STATE))
-    states = [state]
-    if further and not state.where(F.size("stay") > 0).isEmpty():
-        states = [state.where(F.size("stay") == 0), *_further(state, lines, partners)]
-    masks = reduce(DataFrame.unionByName, [s.where("removed > 0").select(F.col("d").alias("_ld_key"), F.col("k").alias("_ld_print"), F.col("gone").alias("_ld_gone")) for s in states])
+    anchors = sequences.mapInArrow(_shared, "h long, d long, k long")
+    holders = anchors.groupBy("h").agg(F.min(F.struct("d", "k")).alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    pairs = anchors.join(rekeyed(holders, "h"), "h").where("first.d < d").groupBy("d", "k", F.col("first.d").alias("e"), F.col("first.k").alias("f")).agg(F.min("df").alias("df"))
+    asked = checkpoint(pairs).join(sequences.select("d", "k", "lines"), ["d", "k"])
+    partners = rekeyed(sequences.select(F.col("d").alias("e"), F.col("k").alias("f"), F.col("lines").alias("other")), "e")
+    met = asked.join(partners, ["e", "f"]).select("d", "k", "df", "e", "lines", "other")
+    links = met.mapInArrow(_common, "d long, k long, df long, e long, other binary").groupBy("d", "k").agg(F.collect_list(F.struct("df", "e", "other")).alias("links"))
+    masks = checkpoint(sequences.join(links, ["d", "k"]).select("d", "k", "lines", "can", "links").mapInArrow(_align, "_ld_key long, _ld_print long, _ld_gone binary"))
     added = {"n_lines": T.LongType(), "n_lines_removed": T.LongType(), "lines_sha256": T.StringType()}
     base = docs.drop(*[c for c in added if c in docs.columns])
     marked = base.withColumns({"_ld_id": ident, "_ld_own": print_})
-    joined = marked.join(masks, (F.col("_ld_id") == F.col("_ld_key")) & (F.col("_ld_own") == F.col("_ld_print")), "left").drop("_ld_key", "_ld_print", "_ld_id", "_ld_own")
-    text_at = joined.columns.index(text_col)
     schema = with_fields(T.StructType([f for f in base.schema.fields if keep_text or f.name != text_col]), *added.items())
-    names = schema.names
-    return joined.mapInArrow(lambda it: _delete(it, min_bytes, text_at, text_col, names, keep_text), schema)
+    names, text_at = schema.names, base.columns.index(text_col)
+    found = id_filter(masks, "_ld_key")
+    # texts that lose nothing stay where they are
+    touched = through(marked, found, "_ld_id").join(masks, (F.col("_ld_id") == F.col("_ld_key")) & (F.col("_ld_own") == F.col("_ld_print")), "left").select(marked.columns + ["_ld_gone"])
+    cut = lambda df: df.mapInArrow(lambda it: _delete(it, min_bytes, text_at, text_col, names, keep_text), schema)
+    return cut(touched).unionByName(cut(through(marked, found, "_ld_id", listed=False)))

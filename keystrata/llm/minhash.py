@@ -27,6 +27,7 @@ Defined results
   empty set, linked with nothing.
 * Rows with one id are one node, so they share a component; ``drop_near_duplicates`` keeps the first of them by text
   (null first). Null id: no link; component null, kept.
+* Long texts are read whole, in one task each. Repeated rows are rows with one id. An empty table stays empty.
 * Other columns pass through; columns of the names added here are replaced.
 """
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
-from ._spark import checkpoint, parallelism, rekeyed, ship
+from ._spark import checkpoint, id_filter, parallelism, rekeyed, ship, through
 
 BANDS, ROWS = 32, 4
 #: Allowed shortfall of agreeing signature values against the threshold.
@@ -242,7 +243,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 75, id_c
     least = int(BANDS * ROWS * (threshold / 100 - SLACK))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return checkpoint(slim.join(nodes, "d", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "d long, s binary").distinct())
+        near = through(slim, id_filter(nodes, "d"), "d")  # of the other texts only what the filter can't tell apart is shuffled
+        return checkpoint(near.join(nodes, "d", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "d long, s binary").distinct())
 
     one = reps.select(F.col("d").alias("u"), F.col("sig").alias("p"))
     two = reps.select(F.col("d").alias("v"), F.col("sig").alias("q"))

@@ -157,66 +157,60 @@ def test_words_and_lines_that_polynomials_confuse(frame, n):
 # line dedup
 
 
-def lcs_blocks(own, other):
-    """Patience diff, written from its definition: trim, match unique lines by the longest increasing run, recurse."""
-
-    def solve(a, b, i, j):
-        out = []
-        while a and b and a[0] == b[0]:
-            out.append((i, j))
-            a, b, i, j = a[1:], b[1:], i + 1, j + 1
-        tail = []
-        while a and b and a[-1] == b[-1]:
-            tail.append((i + len(a) - 1, j + len(b) - 1))
-            a, b = a[:-1], b[:-1]
-        common = [x for x in a if a.count(x) == 1 and b.count(x) == 1]
-        at = [b.index(x) for x in common]
-        size = []
-        for k, y in enumerate(at):
-            size.append(1 + max((size[m] for m in range(k) if at[m] < y), default=0))
-        chain = [max(k for k in range(len(at)) if size[k] == max(size))] if at else []
-        while chain and size[chain[0]] > 1:  # of equal runs, the one whose places come last in the document
-            chain.insert(0, max(m for m in range(chain[0]) if size[m] == size[chain[0]] - 1 and at[m] < at[chain[0]]))
-        if chain:
-            x0 = y0 = 0
-            for k in chain:
-                x, y = a.index(common[k]), at[k]
-                out += solve(a[x0:x], b[y0:y], i + x0, j + y0) + [(i + x, j + y)]
-                x0, y0 = x + 1, y + 1
-            out += solve(a[x0:], b[y0:], i + x0, j + y0)
-        return sorted(out + tail)
-
-    return solve(own, other, 0, 0)
-
-
 def brute_lines(rows, least):
+    """What goes, written from the definition: (n_lines, n_removed, digest), and the places by document."""
     can = lambda x: len(x.encode()) >= least and bool(words(x))
     by_id = {d: (t or "").split("\n") if t else [] for d, t in rows}
-    holders = defaultdict(set)
-    for d, ls in by_id.items():
-        for x in ls:
-            if can(x):
-                holders[x].add(d)
-    out = {}
+    named = {d: [(x, ls[:i].count(x)) for i, x in enumerate(ls)] for d, ls in by_id.items()}
+    holders = defaultdict(list)
+    for d in sorted(by_id):
+        for x in named[d]:
+            if can(x[0]):
+                holders[x].append(d)
+    out, places = {}, {}
     for d, ls in by_id.items():
         rare = {}
-        for x in ls:
-            if can(x) and min(holders[x]) < d:
-                e = min(holders[x])
+        for x in named[d]:
+            if can(x[0]) and holders[x][0] < d:
+                e = holders[x][0]
                 rare[e] = min(rare.get(e, 1 << 60), len(holders[x]))
         gone = set()
         for _, e in sorted((n, e) for e, n in rare.items()):
-            if all(i in gone for i, x in enumerate(ls) if can(x) and x in by_id[e]):
-                continue
-            pairs = lcs_blocks(ls, by_id[e])
-            block = []
-            for k, (x, y) in enumerate(pairs):
-                block.append(x)
-                if k + 1 == len(pairs) or pairs[k + 1] != (x + 1, y + 1):
-                    if any(can(ls[i]) for i in block):
-                        gone.update(block)
-                    block = []
+            other = by_id[e]
+            while left := [i for i, x in enumerate(named[d]) if can(x[0]) and i not in gone and x in named[e]]:
+                at = [named[e].index(named[d][i]) for i in left]
+                size = []
+                for k, y in enumerate(at):
+                    size.append(1 + max((size[m] for m in range(k) if at[m] < y), default=0))
+                run = [max(k for k in range(len(at)) if size[k] == max(size))]
+                while size[run[0]] > 1:  # of equal runs, the one whose places come last in the document
+                    run.insert(0, max(m for m in range(run[0]) if size[m] == size[run[0]] - 1 and at[m] < at[run[0]]))
+                links = [(left[k], at[k]) for k in run]
+                for n, (i, j) in enumerate(links):
+                    before, after = (links[n - 1] if n else (-1, -1)), (links[n + 1] if n + 1 < len(links) else (len(ls), len(other)))
+                    gone.add(i)
+                    step = 1
+                    while i - step > before[0] and j - step > before[1] and ls[i - step] == other[j - step]:
+                        gone.add(i - step)
+                        step += 1
+                    step = 1
+                    while i + step < after[0] and j + step < after[1] and ls[i + step] == other[j + step]:
+                        gone.add(i + step)
+                        step += 1
+        places[d] = gone
         out[d] = (len(ls), len(gone), sha("\n".join(x for i, x in enumerate(ls) if i not in gone)))
+    # whoever the partners were: an anchor goes exactly if any earlier document has it as often, and nothing goes alone
+    for d, ls in by_id.items():
+        for i, x in enumerate(named[d]):
+            if can(x[0]):
+                assert (i in places[d]) == any(e < d and x in named[e] for e in by_id)
+        for i in places[d]:
+            lo = hi = i
+            while lo - 1 in places[d]:
+                lo -= 1
+            while hi + 1 in places[d]:
+                hi += 1
+            assert any(can(ls[j]) for j in range(lo, hi + 1))
     return out
 
 
@@ -249,69 +243,31 @@ def test_lines_edges(frame):
     assert line_dedup.dedup_lines(frame([])).count() == 0
 
 
-def brute_further(rows, least):
-    """Lines that go when the first holders' leavings are aligned with the holders of rank 1, 2, ..."""
-    can = lambda x: len(x.encode()) >= least and bool(words(x))
-    by_id = {d: t.split("\n") if t else [] for d, t in rows}
-    holders = defaultdict(list)
-    for d in sorted(by_id):
-        for x in {x for x in by_id[d] if can(x)}:
-            holders[x].append(d)
-    out = {}
-    for d, ls in by_id.items():
-        gone = set()
-
-        def cut(e, ls=ls, gone=gone):
-            pairs, block = lcs_blocks(ls, by_id[e]), []
-            for k, (x, y) in enumerate(pairs):
-                block.append(x)
-                if k + 1 == len(pairs) or pairs[k + 1] != (x + 1, y + 1):
-                    if any(can(ls[i]) for i in block):
-                        gone.update(block)
-                    block = []
-
-        rare = {}
-        for x in ls:
-            if can(x) and holders[x][0] < d:
-                rare[holders[x][0]] = min(rare.get(holders[x][0], 1 << 60), len(holders[x]))
-        for _, e in sorted((n, e) for e, n in rare.items()):
-            if any(i not in gone and can(x) and x in by_id[e] for i, x in enumerate(ls)):
-                cut(e)
-        for r in range(1, len(by_id)):
-            at = defaultdict(set)
-            for i, x in enumerate(ls):
-                if i not in gone and can(x) and len(holders[x]) > r and holders[x][r] < d:
-                    at[holders[x][r]].add(x)
-            for e in sorted(at):
-                if any(i not in gone and x in at[e] for i, x in enumerate(ls)):
-                    cut(e)
-        out[d] = (len(ls), len(gone), sha("\n".join(x for i, x in enumerate(ls) if i not in gone)))
-    return out
+def test_lines_that_cross_and_repeat(frame):
+    """No link is lost: lines in another order, lines that a document has more often, and holders that aren't the first."""
+    a, b, c = (f"a line of boilerplate that is {x}" for x in ("first", "second", "third"))
+    rows = [(1, f"{b}\n{a}"), (2, f"{a}\n{b}"), (3, f"{a}\n{b}"), (4, f"own\n{c}\nx"), (5, f"{c}\nown of five\n{c}"), (6, f"{c}\nx\n{c}\nx\n{c}")]
+    got = {r.doc_id: (r.n_lines_removed, r.text) for r in line_dedup.dedup_lines(frame(rows)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, ""), 3: (2, ""), 4: (0, rows[3][1]), 5: (1, f"own of five\n{c}"), 6: (2, f"x\nx\n{c}")}
 
 
-def test_lines_of_further_holders(frame, monkeypatch):
-    """The first holder has the line twice, so that it aligns with the third document's only through the second."""
-    monkeypatch.setattr(line_dedup, "FURTHER", 2)
-    line = "a line of boilerplate that many hold"
-    rows = [(1, f"own a\n{line}\nown b\n{line}\nown c"), (2, f"own d\n{line}\nown e"), (3, f"own f\n{line}\nown g")]
-    got = line_dedup.dedup_lines(frame(rows), further=True).collect()
-    assert {r.doc_id: r.n_lines_removed for r in got} == {1: 0, 2: 0, 3: 1}
-    rng = random.Random(11)
-    pool = [f"line number {i} of the shared pool" for i in range(25)] + ["", "short", "é" * 12]
-    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.6 else f"own line {d} {rng.random()}" for _ in range(rng.randint(0, 12)))) for d in range(120)]
-    got = line_dedup.dedup_lines(frame(rows), further=True).collect()
-    want = brute_further(rows, line_dedup.MIN_BYTES)
-    assert {r.doc_id: (r.n_lines, r.n_lines_removed, r.lines_sha256) for r in got} == want
-    assert sum(w[1] for w in want.values()) > sum(w[1] for w in brute_lines(rows, line_dedup.MIN_BYTES).values())
+def test_lines_of_repeated_rows_and_texts_of_one_id(frame):
+    a, b = "a line that is long enough", "another line that is long enough"
+    rows = [(1, a), (1, b), (1, b), (2, f"{a}\n{b}"), (2, f"{a}\n{b}"), (None, a)]
+    got = sorted([(r.doc_id, r.n_lines_removed) for r in line_dedup.dedup_lines(frame(rows, extra=True)).collect()], key=str)
+    assert got == sorted([(1, 0), (1, 0), (1, 0), (2, 2), (2, 2), (None, 0)], key=str)
 
 
-def test_patience_is_aligned():
+def test_numbered_lines_and_chains():
     rng = random.Random(6)
-    for _ in range(200):
-        a, b = ([rng.randint(0, 9) for _ in range(rng.randint(0, 12))] for _ in range(2))
-        pairs = line_dedup.patience(a, b)
-        assert pairs == lcs_blocks(a, b)
-        assert all(a[x] == b[y] for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    for _ in range(100):
+        own = np.array([rng.randint(1, 4) for _ in range(rng.randint(0, 9))], np.uint64)
+        names = line_dedup.numbered(own).tolist()
+        assert len(set(names)) == len(names) and all(names[i] == own[i] for i in range(len(own)) if own[i] not in own[:i])
+        ys = rng.sample(range(20), rng.randint(0, 9))
+        run = line_dedup.chain(list(enumerate(ys)))
+        best = max((bin(m).count("1") for m in range(1 << len(ys)) if (s := [y for i, y in enumerate(ys) if m >> i & 1]) == sorted(s)), default=0)
+        assert len(run) == best and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(run, run[1:]))
 
 
 # near duplicates
