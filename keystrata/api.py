@@ -85,6 +85,8 @@ class Engine:
                 raise RequestError(f"unknown mode: {r.get('mode')}")
             if self.guarded:
                 self.access.check(r, ip)
+            if r.get("limit") == Q.ALL:
+                raise RequestError("a response is a page: limit must be a number (frame() takes all, write_csv and write_json put it into files)")
             self.served[r["mode"]] += 1
             return self._timed(handler, r)
         except Timeout as e:

@@ -15,7 +15,7 @@ from ..plans import criteria as C
 from ..plans.compile import check_having, compile_criteria, quoted, value_of
 from ..plans.table import Table, adapt
 from ..plans.types import NUMBERS, TIMES, RequestError
-from .find import names, page_size, where
+from .find import limited, names, where
 
 FUNCTIONS = ("count", "sum", "avg", "min", "max")
 MAX_SPECS = 32
@@ -116,5 +116,5 @@ def aggregate(
     down = str(order).lower() == "desc"
     if groups:
         columns = [quoted(x).desc_nulls_last() if down else quoted(x).asc_nulls_first() for x in by]
-        df = df.orderBy(*columns, *(quoted(g).asc_nulls_first() for g in groups if g not in by)).limit(page_size(limit))
+        df = limited(df.orderBy(*columns, *(quoted(g).asc_nulls_first() for g in groups if g not in by)), limit)
     return df

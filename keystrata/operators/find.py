@@ -65,7 +65,14 @@ def project(table: Table, df: DataFrame, fields: str | Iterable[str] | None, key
 
 
 def page_size(limit: int | str | None) -> int:
-    return int(limit) if limit and int(limit) > 0 else GLOBAL_LIMIT
+    try:
+        return int(limit) if limit and int(limit) > 0 else GLOBAL_LIMIT
+    except (TypeError, ValueError):
+        raise RequestError(f"limit must be a number: {limit}") from None
+
+
+def limited(df: DataFrame, limit: int | str | None) -> DataFrame:
+    return df if limit == ALL else df.limit(page_size(limit))
 
 
 def _order(table: Table, order_by: str | Sequence[str] | None, order: str = "asc") -> list[Column]:
@@ -140,7 +147,7 @@ def cursor_page(
     wanted = names(fields)
     if wanted is not None and order_by not in wanted:
         wanted = [*wanted, order_by]
-    return project(table, df.limit(page_size(limit)), wanted)
+    return project(table, limited(df, limit), wanted)
 
 
 def _check_cursor(table: Table, order_by: str | None) -> None:
@@ -156,7 +163,7 @@ def fetch(table: Table, after: Any = None, limit: int | None = None, fields: Any
     """A page of all records in the key's order, after a key."""
     key = quoted(_key(table))
     df = table.data if after in (None, "") else table.data.where(key > F.lit(after))
-    return project(table, df.orderBy(key).limit(page_size(limit)), fields)
+    return project(table, limited(df.orderBy(key), limit), fields)
 
 
 def keys(table: Table, offset: int = 0, limit: int | None = None) -> DataFrame:

@@ -13,13 +13,14 @@ from typing import Any
 from pyspark.sql import functions as F
 
 from ..plans.types import MAX_FIELDS, NAME, Field, RequestError, parse_field
-from ..sources.catalog import MAX_SPLITS, MIN_SPLITS, Catalog, check_index, shard_of
+from ..sources.catalog import MAX_SPLITS, MIN_SPLITS, Catalog, check_index, retried, shard_of
 
 
 class SchemaOps:
     def __init__(self, catalog: Catalog):
         self.catalog = catalog
 
+    @retried
     def add_fields(self, dir_: str, name: str, specs: list[str]) -> dict:
         with self.catalog.writing(dir_, name) as meta:
             for x in specs:
@@ -27,13 +28,14 @@ class SchemaOps:
                 if any(old["name"] == f.name for old in meta["fields"]):
                     raise RequestError(f"field exists or was removed and not compacted yet: {f.name}")
                 meta["fields"].append(asdict(f))
-                for at in meta["shards"].values():
+                for at in self.catalog.layers(meta):
                     if f.name in at["renamed"].values():  # a renamed field's own column has this name
                         at["renamed"][f.name] = ""
             if len(meta["fields"]) > MAX_FIELDS:
                 raise RequestError(f"more than {MAX_FIELDS} fields")
         return {"status": "added", "fields": len(specs)}
 
+    @retried
     def rename_field(self, dir_: str, name: str, old: str, new: str) -> dict:
         if not NAME.match(new or "") or new == "key":
             raise RequestError(f"invalid field name: {new}")
@@ -44,11 +46,12 @@ class SchemaOps:
             if new in named:
                 raise RequestError(f"field exists: {new}")
             named[old]["name"] = new
-            for at in meta["shards"].values():
+            for at in self.catalog.layers(meta):
                 at["renamed"][new] = at["renamed"].pop(old, old)
             meta["indexes"] = ["+".join(new if p == old else p for p in x.split("+")) for x in meta["indexes"]]
         return {"status": "renamed", "old": old, "new": new}
 
+    @retried
     def remove_fields(self, dir_: str, name: str, fields: list[str]) -> dict:
         dropped: list[str] = []
         with self.catalog.writing(dir_, name) as meta:
@@ -62,9 +65,10 @@ class SchemaOps:
                 meta["indexes"] = [i for i in meta["indexes"] if i not in gone]
         return {"status": "removed", "fields": fields, "indexes_dropped": dropped}
 
+    @retried
     def vacuum(self, dir_: str, name: str, compact: bool = False, splits: int | None = None) -> dict:
-        """Remove folders of past versions; compact rewrites all rows without removed fields, and with
-        ``splits`` over so many shards."""
+        """Put deltas into the base and remove folders of past versions; compact rewrites all rows without removed
+        fields, and with ``splits`` over so many shards."""
         if splits is not None and (not MIN_SPLITS <= splits <= MAX_SPLITS or splits & (splits - 1)):
             raise RequestError(f"splits must be a power of 2 from {MIN_SPLITS} to {MAX_SPLITS}")
         with self.catalog.writing(dir_, name) as meta:
@@ -72,21 +76,26 @@ class SchemaOps:
                 rows = self.catalog.read(dir_, name, meta)
                 meta["fields"] = [f for f in meta["fields"] if not f["removed"]]
                 meta["splits"] = splits or meta["splits"]
-                self.catalog.commit(dir_, name, meta, rows, None)
-            self.catalog.save(dir_, name, meta)
-            self.catalog.vacuum(dir_, name, meta)
-            return {"status": "vacuumed", "count": meta["count"], "splits": meta["splits"]}
+                self.catalog.commit(dir_, name, meta, rows, None, meta["count"])
+            else:
+                self.catalog.compact(dir_, name, meta)
+        self.catalog.vacuum(dir_, name)
+        return {"status": "vacuumed", "count": meta["count"], "splits": meta["splits"]}
 
+    @retried
     def truncate(self, dir_: str, name: str) -> dict:
         with self.catalog.writing(dir_, name) as meta:
-            meta.update(shards={}, count=0, version=meta["version"] + 1)
+            folders = {at["folder"] for at in self.catalog.layers(meta)}
+            meta.update(shards={}, deltas=[], count=0, version=meta["version"] + 1, retired=sorted({*meta["retired"], *folders}))
         return {"status": "truncated"}
 
+    @retried
     def recount(self, dir_: str, name: str) -> dict:
         with self.catalog.writing(dir_, name) as meta:
             meta["count"] = self.catalog.read(dir_, name, meta).count()
             return {"status": "recounted", "count": meta["count"]}
 
+    @retried
     def add_indexes(self, dir_: str, name: str, fields: list[str], force: bool = False) -> dict:
         with self.catalog.writing(dir_, name) as meta:
             added = []
@@ -98,6 +107,7 @@ class SchemaOps:
                     meta["indexes"].append(x)
         return {"status": "indexed", "fields": added}
 
+    @retried
     def remove_indexes(self, dir_: str, name: str, fields: list[str]) -> dict:
         with self.catalog.writing(dir_, name) as meta:
             gone = [x for x in fields if x in meta["indexes"]]
@@ -133,15 +143,20 @@ class SchemaOps:
         for d, o in self._objects(None, None):
             meta = self.catalog.meta(d, o)
             folders = {f for f, _, _ in self.catalog.files.list(self.catalog.files.path(d, o, "data"))}
-            stale = len(folders - {at["folder"] for at in meta["shards"].values()})
-            out.append({"dir": d, "object": o, "count": meta["count"], "orphaned": 0, "stale_versions": stale, "vacuum": bool(stale) or any(f["removed"] for f in meta["fields"])})
+            stale = len(folders - {at["folder"] for at in self.catalog.layers(meta)})
+            out.append({"dir": d, "object": o, "count": meta["count"], "orphaned": 0, "stale_versions": stale, "vacuum": bool(stale or meta["deltas"]) or any(f["removed"] for f in meta["fields"])})
         return out
 
     def backup(self, dir_: str, name: str) -> dict:
-        with self.catalog.writing(dir_, name):
-            label = f"{name}.backup-{dt.datetime.now():%Y%m%d%H%M%S}"
-            self.catalog.files.copy(self.catalog.files.path(dir_, name), self.catalog.files.path("_backups", dir_, label))
-        return {"status": "backed_up", "path": self.catalog.files.path("_backups", dir_, label)}
+        """The object as it is now, written by the executors as an object of its own; writers aren't held up."""
+        label = f"{name}.backup-{dt.datetime.now():%Y%m%d%H%M%S%f}"
+        meta = self.catalog.meta(dir_, name)
+        rows = self.catalog.read(dir_, name, meta)
+        copy = meta | {"shards": {}, "deltas": [], "retired": [], "version": 0}
+        self.catalog.commit(f"_backups/{dir_}", label, copy, rows, None, meta["count"])
+        path = self.catalog.files.path("_backups", dir_, label)
+        self.catalog.files.create(f"{path}/_manifests/{1:012d}.json", json.dumps(copy, indent=1).encode())
+        return {"status": "backed_up", "path": path}
 
     def export_schema(self, dir_: str | None = None) -> dict:
         objects = []

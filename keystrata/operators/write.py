@@ -1,7 +1,8 @@
 """Writes: upsert, partial update, delete, their bulk forms, conditions, sequences and defaults.
 
-Each write is one plan over the shards that it touches: anti-join and union for upserts, one left join for
-partial updates, an anti-join for deletes. Batches are all or nothing."""
+Each write appends its own rows: whole records for upserts, the joined ones for partial updates, marks for deletes.
+Of what is stored it reads the keys (partial updates: the rows) in the shards that it touches, to tell new from old.
+Batches are all or nothing."""
 
 from __future__ import annotations
 
@@ -15,10 +16,12 @@ from ..plans.compile import compile_criteria, quoted, text_leaf, text_of
 from ..plans.table import Table
 from ..plans.types import Field, RequestError
 from ..sources import ingest
-from ..sources.catalog import Catalog, shard_of
+from ..sources.catalog import DEAD, Catalog, retried, shard_of
 from ..sources.formats import record
 
 MAX_CONDITIONS = 64
+#: Keys of a batch up to this number are looked up by a filter, which reaches the scan; more by a join.
+FILTERED = 200
 
 
 def conditions(items: Any) -> list[C.Leaf]:
@@ -87,10 +90,8 @@ class Writer:
                 if f.default == "auto_update":
                     given = F.lit(False)
             elif fn == "seq":
-                missing = rows.where(~given).count()
-                start = self._take(meta, arg, missing) if missing else 0
-                n = F.row_number().over(Window.partitionBy(given).orderBy("_n"))
-                value = (F.lit(start) + n - 1).cast("long")
+                rows = self._numbered(meta, rows, given, f.name, arg)
+                continue
             elif fn == "uuid":
                 value = F.uuid()
             elif fn == "random":
@@ -100,6 +101,23 @@ class Writer:
             rows = rows.withColumn(f.name, F.when(given, quoted(f.name)).otherwise(value.cast(f.spark_type)))
         return rows
 
+    def _numbered(self, meta: dict, rows: DataFrame, given: Column, field: str, sequence: str) -> DataFrame:
+        """The next numbers of a sequence, in the records' order: a distributed sort, and each partition's count."""
+        lacking = self._materialised(rows.where(~given).orderBy("_n"))
+        at = F.monotonically_increasing_id()
+        counts = {r["p"]: r["m"] for r in lacking.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("m")).collect()}  # a row for each partition
+        if not counts:
+            return rows
+        before, offsets = self._take(meta, sequence, sum(counts.values())), []
+        for p in sorted(counts):
+            offsets.append((p, before))
+            before += counts[p]
+        first = self.spark.createDataFrame(offsets, "_p int, _first long")
+        numbers = lacking.withColumns({"_p": F.spark_partition_id(), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}).join(F.broadcast(first), "_p")
+        kind = rows.schema[field].dataType
+        filled = numbers.withColumn(field, (F.col("_first") + F.col("_at")).cast(kind)).select(*map(quoted, rows.columns))
+        return rows.where(given).unionByName(filled)
+
     def _full(self, meta: dict, rows: DataFrame) -> DataFrame:
         """Rows in the stored shape; what they lack is absent."""
         kind = self.catalog.stored_type(meta)
@@ -112,15 +130,22 @@ class Writer:
             sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or self.catalog.files.path("_checkpoints"))
         return rows.checkpoint()
 
+    def _existing(self, dir_: str, name: str, meta: dict, keys: DataFrame, size: int) -> DataFrame:
+        """Stored rows of some distinct keys."""
+        shards = self._shards(meta, keys)
+        old = self.catalog.read(dir_, name, meta, shards)
+        if size <= FILTERED:
+            return old.where(F.col("key").isin([r[0] for r in keys.select("key").collect()]))
+        return old.join(keys.select("key"), "key", "left_semi")
+
     def _put(self, dir_: str, name: str, meta: dict, rows: DataFrame) -> tuple[int, int]:
         """Upsert of rows with distinct keys: (new keys, all keys)."""
-        shards = self._shards(meta, rows)
-        if not shards:
+        size = rows.count()
+        if not size:
             return 0, 0
-        before = meta["count"]
-        old = self.catalog.read(dir_, name, meta, shards)
-        self.catalog.commit(dir_, name, meta, old.join(rows.select("key"), "key", "left_anti").unionByName(self._full(meta, rows)), shards)
-        return meta["count"] - before, rows.count()
+        new = size - (self._existing(dir_, name, meta, rows, size).count() if meta["count"] else 0)
+        self.catalog.append(dir_, name, meta, self._full(meta, rows).withColumn(DEAD, F.lit(False)), size, meta["count"] + new)
+        return new, size
 
     # one record
 
@@ -134,6 +159,7 @@ class Writer:
             return None, False
         return {k: v for k, v in record(row, "key").items() if k != "_ok"}, row["_ok"]
 
+    @retried
     def insert(self, dir_: str, name: str, key: str, value: dict, if_not_exists: bool = False, condition: Any = None) -> dict:
         leaves = conditions(condition)
         with self.catalog.writing(dir_, name) as meta:
@@ -146,6 +172,7 @@ class Writer:
             new, _ = self._put(dir_, name, meta, self._materialised(self._defaults(dir_, name, meta, rows, True)))
         return {"status": "inserted" if new else "updated", "key": key}
 
+    @retried
     def update(self, dir_: str, name: str, key: str, value: dict, condition: Any = None, dry_run: bool = False) -> dict:
         leaves = conditions(condition)
         with self.catalog.writing(dir_, name) as meta:
@@ -159,6 +186,7 @@ class Writer:
             self._patch(dir_, name, meta, ingest.inline(self.spark, {key: value}, self._live(meta)))
         return {"status": "updated", "key": key}
 
+    @retried
     def delete(self, dir_: str, name: str, key: str, condition: Any = None, dry_run: bool = False) -> dict:
         leaves = conditions(condition)
         with self.catalog.writing(dir_, name) as meta:
@@ -174,6 +202,7 @@ class Writer:
 
     # bulk
 
+    @retried
     def bulk_insert(self, dir_: str, name: str, rows: DataFrame | Any, if_not_exists: bool = False, defaults: bool = True) -> dict:
         """Upsert of many records; of equal keys the last counts. ``inserted`` counts new keys."""
         with self.catalog.writing(dir_, name) as meta:
@@ -182,9 +211,9 @@ class Writer:
             rows = self._latest(rows)
             skipped = 0
             if if_not_exists:
-                old = self.catalog.read(dir_, name, meta).select("key")
+                rows = self._materialised(rows)
                 total = rows.count()
-                rows = rows.join(old, "key", "left_anti")
+                rows = rows.join(self._existing(dir_, name, meta, rows, total).select("key"), "key", "left_anti")
             if defaults:
                 rows = self._defaults(dir_, name, meta, rows, True)
             rows = self._materialised(rows)
@@ -202,25 +231,26 @@ class Writer:
         """Partial update: fields that a patch gives replace the stored ones. (updated, missing)"""
         patch = self._latest(self._defaults(dir_, name, meta, patch, False))
         stamped = [f.name for f in self._live(meta) if f.default == "auto_update"]
-        shards = self._shards(meta, patch)
-        old = self.catalog.read(dir_, name, meta, shards)
+        size = patch.count()
+        old = self._existing(dir_, name, meta, patch, size)
         live = {f.name for f in self._live(meta)}
         new = patch.select(F.col("key").alias("_k"), F.col("_given").alias("_g"), *(quoted(f).alias(f"_p_{f}") for f in live))
-        joined = old.join(new, old["key"] == F.col("_k"), "left")
-        touched = F.col("_k").isNotNull()
+        joined = old.join(new, old["key"] == F.col("_k"))
         columns = []
         for f in self.catalog.stored_type(meta):
             c = quoted(f.name)
-            if f.name in live:
-                gives = touched if f.name in stamped else touched & F.array_contains("_g", f.name)
-                c = F.when(gives, quoted(f"_p_{f.name}")).otherwise(c).alias(f.name)
+            if f.name in stamped:
+                c = quoted(f"_p_{f.name}").alias(f.name)
+            elif f.name in live:
+                c = F.when(F.array_contains("_g", f.name), quoted(f"_p_{f.name}")).otherwise(c).alias(f.name)
             columns.append(c)
-        matched = old.join(patch.select("key"), "key", "left_semi").count()
-        total = patch.count()
+        changed = self._materialised(joined.select(*columns, F.lit(False).alias(DEAD)))
+        matched = changed.count()
         if matched:
-            self.catalog.commit(dir_, name, meta, joined.select(*columns), shards)
-        return matched, total - matched
+            self.catalog.append(dir_, name, meta, changed, matched, meta["count"])
+        return matched, size - matched
 
+    @retried
     def bulk_update(self, dir_: str, name: str, rows: DataFrame | Any) -> dict:
         with self.catalog.writing(dir_, name) as meta:
             if not isinstance(rows, DataFrame):
@@ -241,6 +271,7 @@ class Writer:
         matched, passed = hit.agg(F.count(F.lit(1)), F.count_if("_ok")).first()
         return hit.where("_ok").select("key"), matched, passed
 
+    @retried
     def bulk_update_where(self, dir_: str, name: str, criteria: Any, value: dict, limit: int | None = None, condition: Any = None, dry_run: bool = False) -> dict:
         with self.catalog.writing(dir_, name) as meta:
             keys, matched, passed = self._chosen(dir_, name, meta, criteria, limit, conditions(condition))
@@ -255,16 +286,14 @@ class Writer:
         return {"matched": matched, "updated": passed, "skipped": matched - passed}
 
     def _remove(self, dir_: str, name: str, meta: dict, keys: DataFrame) -> int:
-        shards = self._shards(meta, keys)
-        if not shards:
-            return 0
-        before = meta["count"]
-        old = self.catalog.read(dir_, name, meta, shards)
-        if old.join(keys, "key", "left_semi").isEmpty():
-            return 0
-        self.catalog.commit(dir_, name, meta, old.join(keys, "key", "left_anti"), shards)
-        return before - meta["count"]
-
+        size = keys.count()
+        gone = self._materialised(self._existing(dir_, name, meta, keys, size).select("key")) if size else keys
+        found = gone.count()
+        if found:
+            self.catalog.append(dir_, name, meta, self._full(meta, gone).withColumn(DEAD, F.lit(True)), found, meta["count"] - found)
+        return found
+
+    @retried
     def bulk_delete(self, dir_: str, name: str, keys: list[str] | None = None, file: str | None = None) -> dict:
         if file is not None:
             listed = self.spark.read.text(file, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("key"))
@@ -273,6 +302,7 @@ class Writer:
         with self.catalog.writing(dir_, name) as meta:
             return {"deleted": self._remove(dir_, name, meta, listed.distinct())}
 
+    @retried
     def bulk_delete_where(self, dir_: str, name: str, criteria: Any, limit: int | None = None, condition: Any = None, dry_run: bool = False) -> dict:
         with self.catalog.writing(dir_, name) as meta:
             keys, matched, passed = self._chosen(dir_, name, meta, criteria, limit, conditions(condition))
@@ -289,6 +319,7 @@ class Writer:
         meta["sequences"][name] = start + count - 1
         return start
 
+    @retried
     def sequence(self, dir_: str, name: str, sequence: str, action: str, batch: int = 1, value: int = 0) -> dict:
         with self.catalog.writing(dir_, name) as meta:
             if action in ("init", "reset"):

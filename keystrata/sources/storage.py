@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
 from pathlib import PurePosixPath
+from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
@@ -31,23 +34,55 @@ class Storage:
         finally:
             stream.close()
 
-    def write(self, path: str, data: bytes, overwrite: bool = True) -> None:
-        """Whole or not at all: written beside and renamed."""
+    def _beside(self, path: str, data: bytes) -> str:
+        """A whole file under another name in the folder of ``path``."""
         folder = self._at(str(PurePosixPath(path).parent)) if "://" not in path else self._at(path).getParent()
         self._fs.mkdirs(folder)
-        beside = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
-        stream = self._fs.create(beside, False)
+        beside = f"{path}.{uuid.uuid4().hex}.tmp"
+        stream = self._fs.create(self._at(beside), False)
         try:
             stream.write(bytearray(data))
         finally:
             stream.close()
+        return beside
+
+    def create(self, path: str, data: bytes) -> bool:
+        """A new file, whole or not at all; false if the path is taken, also by a writer in another process.
+
+        Hadoop's rename onto a file that is there fails in shared file systems, in one step; the local one would
+        replace it, so there a hard link is made."""
+        beside = self._beside(path, data)
+        if self._fs.getUri().getScheme() == "file":
+            try:
+                os.link(urlparse(beside).path, urlparse(path).path)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                self._fs.delete(self._at(beside), False)
+        done = not self.exists(path) and self._fs.rename(self._at(beside), self._at(path))
+        if not done:
+            self._fs.delete(self._at(beside), False)
+        return done
+
+    def write(self, path: str, data: bytes, overwrite: bool = True) -> None:
+        """Written beside and renamed. Of two writers the later one counts; a reader may find no file while one is replaced."""
+        if not overwrite:
+            if not self.create(path, data):
+                raise FileExistsError(path)
+            return
+        beside = self._beside(path, data)
         target = self._at(path)
-        if overwrite and self._fs.exists(target):
+        if self._fs.exists(target):
             self._fs.delete(target, False)
-        if not self._fs.rename(beside, target):
-            self._fs.delete(beside, False)
+        if not self._fs.rename(self._at(beside), target):
+            self._fs.delete(self._at(beside), False)
             raise FileExistsError(path)
 
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder changed."""
+        return time.time() - self._fs.getFileStatus(self._at(path)).getModificationTime() / 1000
+
     def delete(self, path: str) -> bool:
         return self._fs.delete(self._at(path), True)
 
@@ -59,7 +94,3 @@ class Storage:
         if not self.exists(path):
             return []
         return sorted((s.getPath().getName(), s.isDirectory(), s.getLen()) for s in self._fs.listStatus(self._at(path)))
-
-    def copy(self, source: str, target: str) -> None:
-        conf = self.spark._jsc.hadoopConfiguration()
-        self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._at(source), self._fs, self._at(target), False, conf)
