@@ -220,9 +220,12 @@ add("a21_count_mode", on("lineitem", lambda t: Q.count(t, [leaf("l_shipdate", "g
 
 
 def engine(spark: SparkSession) -> Engine:
-    """An engine in a fresh folder of the shared checkpoint or warehouse location."""
-    conf = spark.sparkContext.getConf()
-    top = conf.get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="engine_")
+    """An engine in a fresh folder of the shared checkpoint location; local sessions may go without one."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if top is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    top = top or tempfile.mkdtemp(prefix="engine_")
     return Engine(spark, f"{top}/engine_{uuid.uuid4().hex}")
 
 
@@ -322,16 +325,16 @@ def _delimited(mode: str) -> Query:
         c = spark.read.parquet(f"{sf_dir}/customer.parquet")
         key = F.concat(F.lit("n" if mode == "bulk-insert-delimited" else ""), F.col("c_custkey").cast("string"))
         cells = key, F.lit("LOADED"), F.lit(""), (F.col("c_nationkey") + 1).cast("string")
-        c.where("c_custkey % 3 = 0").select(F.concat_ws("|", *cells)).write.text(path)
+        c.select(F.concat_ws("|", *cells)).write.text(path)
         customers(e, mode, file=path, delimiter="|")
         return e.catalog.table("q", "customers").data
 
     return query
 
 
-add("io3_delimited", _delimited("bulk-insert-delimited"), f"{_BASE} UNION ALL SELECT 'n' || c_custkey, 'LOADED', NULL, c_nationkey + 1 FROM customer WHERE c_custkey % 3 = 0")
+add("io3_delimited", _delimited("bulk-insert-delimited"), f"{_BASE} UNION ALL SELECT 'n' || c_custkey, 'LOADED', NULL, c_nationkey + 1 FROM customer")
 add("w8_bulk_insert_delimited", _delimited("bulk-insert-delimited"), _oracle["io3_delimited"])
-add("w13_bulk_update_delimited", _delimited("bulk-update-delimited"), f"SELECT key, CASE WHEN key::INT % 3 = 0 THEN 'LOADED' ELSE segment END AS segment, balance, CASE WHEN key::INT % 3 = 0 THEN nation + 1 ELSE nation END AS nation FROM ({_BASE})")
+add("w13_bulk_update_delimited", _delimited("bulk-update-delimited"), f"SELECT key, 'LOADED' AS segment, balance, nation + 1 AS nation FROM ({_BASE})")
 add("w3_insert_if", after({"mode": "insert", "key": "7", "value": {"nation": 5}, "if": [leaf("segment", "neq", "nosuch")]}, {"mode": "insert", "key": "8", "value": {"nation": 5}, "if": [leaf("segment", "eq", "nosuch")], "may_fail": True}), f"SELECT * FROM ({_BASE}) WHERE key <> '7' UNION ALL VALUES ('7', NULL, NULL, 5)")
 add("w15_defaults", after({"mode": "add-field", "fields": ["origin:varchar:9:default=web", "serial:long:default=seq(s)"]}, {"mode": "insert", "key": "d1", "value": {"nation": 1}}, {"mode": "insert", "key": "d2", "value": {"origin": "mail"}}), f"SELECT *, NULL::VARCHAR AS origin, NULL::BIGINT AS serial FROM ({_BASE}) UNION ALL VALUES ('d1', NULL, NULL, 1, 'web', 1), ('d2', NULL, NULL, NULL, 'mail', 2)")
 
@@ -388,13 +391,15 @@ def _joined_csv(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()  # 25 rows at any scale
     e.request({"mode": "bulk-insert", "dir": "q", "object": "nations", "records": {str(r[0]): {"name": r[1], "region": r[2]} for r in n if r[0] != 4}})
     customers(e, "add-field", fields=["home:varchar:9"])
-    customers(e, "bulk-update", records={str(k): {"home": str(k % 5)} for k in range(1, 31)})
-    out = customers(e, "find", criteria=[leaf("home", "exists")], fields="home", format="csv", join=[{"object": "nations", "local": "home", "remote": "key", "as": "n", "type": "left", "fields": ["name"]}])
-    rows = [tuple(c or None for c in x.split(",")) for x in out.splitlines()[1:]]
-    return spark.createDataFrame(rows, "key string, home string, name string")
+    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    e.writer.bulk_update("q", "customers", ids.select(F.col("c_custkey").cast("string").alias("key"), F.col("c_custkey").alias("_n"), F.array(F.lit("home")).alias("_given"), *(F.lit(None).cast(t).alias(c) for c, t in (("segment", "string"), ("balance", "decimal(12,2)"), ("nation", "int"))), (F.col("c_custkey") % 5).cast("string").alias("home")))
+    r = {"mode": "find", "dir": "q", "object": "customers", "criteria": [leaf("home", "exists")], "fields": "home", "limit": Q.ALL, "join": [{"object": "nations", "local": "home", "remote": "key", "as": "n", "type": "left", "fields": ["name"]}]}
+    path = folder(e)
+    formats.write_csv(e.frame(r), path)
+    return spark.read.schema("key string, home string, name string").option("header", True).csv(path)
 
 
-add("io8_joined_csv", answered(_joined_csv), "SELECT c_custkey::VARCHAR AS key, (c_custkey % 5)::VARCHAR AS home, n_name AS name FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 5 AND n_nationkey <> 4 WHERE c_custkey BETWEEN 1 AND 30")
+add("io8_joined_csv", answered(_joined_csv), "SELECT c_custkey::VARCHAR AS key, (c_custkey % 5)::VARCHAR AS home, n_name AS name FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 5 AND n_nationkey <> 4")
 
 
 def _files(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,6 +452,40 @@ aggregated("a6_default_alias", "orders", "SELECT o_orderstatus, count(*) AS coun
 add("a19_csv", answered(lambda e, spark, _: spark.createDataFrame([(s, int(n)) for s, n in (x.split(",") for x in customers(e, "aggregate", aggregates=[fn("count", None, "n")], group_by="segment", format="csv").splitlines()[1:])], "segment string, n long")), "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY ALL")
 
 
+def _errors(*requests: dict) -> Query:
+    """The texts with which requests are refused, by step; an answer that isn't an error is "-"."""
+
+    def ask(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = []
+        for r in requests:
+            e.guarded = bool(r.get("ip"))
+            out = e.request({"dir": "q", "object": "customers"} | {k: v for k, v in r.items() if k != "ip"}, r.get("ip"))
+            texts.append(out["error"] if isinstance(out, dict) and "error" in out else "-")
+        e.guarded = False
+        return spark.createDataFrame(list(enumerate(texts)), "step long, error string")
+
+    return answered(ask)
+
+
+def _texts(*texts: str) -> str:
+    rows = ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(x.replace("'", "''") for x in texts))
+    return f"SELECT * FROM (VALUES {rows}) v(step, error)"
+
+
+_FIND, _AGG = {"mode": "find"}, {"mode": "aggregate"}
+_JOIN = {"object": "customers", "local": "segment", "remote": "key", "as": "x"}
+_DEEP: dict = leaf("segment", "eq", "x")
+for _ in range(17):
+    _DEEP = {"and": [_DEEP]}
+add("pr6_timeout", _errors({"mode": "count", "criteria": {"segment": "BUILDING"}, "timeout_ms": 600000}, {"mode": "find", "criteria": {"segment": "BUILDING"}, "timeout_ms": 1}), _texts("-", "timeout"))
+add("f44_errors", _errors(*(_FIND | {"criteria": c} for c in ([leaf("segment", "nosuch", 1)], [{"op": "eq", "value": 1}], [leaf("nation", "between", 1)], {"or": []}, _DEEP, [5], "{bad", 5, [leaf("nation", "gt", "abc")]))), _texts("unknown operator: nosuch", "criterion without a field", "between needs value and value2", "empty or", "criteria are nested deeper than 16", "a criterion must be an object", "criteria aren't valid JSON", "criteria must be an array or an object", "bad int value for nation: 'abc'"))
+add("j9_join_errors", _errors(*(_FIND | {"join": [_JOIN | x]} for x in ({"as": "customers"}, {"local": "nosuch"}, {"remote": "nosuch"}, {"remote": "nation"}, {"fields": ["nosuch"]}, {"fields": ["segment+nation"]}, {"object": "nosuch"}, {"local": None})), _FIND | {"join": [_JOIN], "format": "dict"}), _texts("join alias customers is taken", "join: unknown local field nosuch", "join: unknown remote field nosuch", "join: remote field nation is neither the key nor indexed", "join: unknown field nosuch of customers", "join: composite fields can't be projected", "unknown object: q/nosuch", "a join needs object, local and remote", "format=dict is not supported with join"))
+add("s5_unknown_order", _errors(_FIND | {"order_by": "nosuch"}, _AGG | {"group_by": "segment", "aggregates": [fn("count")], "order_by": "nosuch"}), _texts("unknown order_by field: nosuch", "order_by names neither a group field nor an aggregate: nosuch"))
+add("c4_cursor_errors", _errors(*(_FIND | {"cursor": None} | x for x in ({}, {"order_by": "nation"}, {"order_by": "nosuch"}, {"order_by": "segment", "join": [_JOIN]}, {"order_by": "segment", "format": "csv"}, {"order_by": "segment", "cursor": {"segment": "a"}}, {"order_by": "segment", "offset": 2}))), _texts("cursor requires order_by", "cursor requires an indexed order_by field: nation", "unknown order_by field: nosuch", "cursor is not supported with join", "cursor is not supported with csv", "cursor must hold segment and key", "offset is not supported with cursor"))
+add("a20_many_aggregates", _errors(*(_AGG | {"aggregates": [fn("sum", "nation", f"a{i}") for i in range(n)]} for n in (32, 33))), _texts("-", "more than 32 aggregates"))
+add("d14_access", _errors({"mode": "add-token", "token": "reader-000", "perm": "r"}, {"mode": "add-token", "token": "admin-of-r", "dir": "r", "object": None, "perm": "rwx"}, *({"auth": a, "ip": "10.0.0.9"} | r for a, r in (("nosuch", {"mode": "size"}), ("reader-000", {"mode": "size"}), ("reader-000", {"mode": "truncate"}), ("admin-of-r", {"mode": "size"}), ("admin-of-r", {"mode": "stats"}))), {"mode": "remove-token", "token": "nosuch"}), _texts("-", "-", "auth failed", "-", "permission denied", "permission denied", "permission denied", "unknown token"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by market segment of open or urgent orders: filter, lookup join, group, having, top 3."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")

@@ -124,6 +124,10 @@ class Catalog:
     def meta(self, dir_: str, name: str) -> dict:
         return self._latest(dir_, name)[1]
 
+    def meta_at(self, path: str) -> dict:
+        """The only manifest of a backup's folder."""
+        return json.loads(self.files.read(f"{path}/_manifests/{1:012d}.json"))
+
     def create(self, dir_: str, name: str, fields: list[str], indexes: list[str] = (), splits: int = DEFAULT_SPLITS, max_key: int = MAX_KEY, if_not_exists: bool = False) -> dict:
         if not NAME.match(name or "") or not NAME.match(dir_ or ""):
             raise RequestError(f"invalid name: {dir_}/{name}")

@@ -30,13 +30,13 @@ def hits(t, *leaves, lenient=False):
 
 
 def test_case_and_like(table):
-    t = table(["name:varchar:32", "tag:varchar:32"], [("k1", "Alice", "VIP"), ("k2", "alice", "vip"), ("k3", "BOB", "vip"), ("k4", "bob", "VIP"), ("k5", "Carol", "std"), ("k6", "a_b%c", "ÀB"), ("k7", None, "")])
+    t = table(["name:varchar:32", "tag:varchar:32"], [("k1", "Nina", "TOP"), ("k2", "nina", "top"), ("k3", "TOM", "top"), ("k4", "tom", "TOP"), ("k5", "Corin", "low"), ("k6", "a_b%c", "ÀB"), ("k7", None, "")])
     for leaf, want in {
-        ("name", "like", "Al%"): "1", ("name", "ilike", "al%"): "12", ("name", "like", "%lice"): "12", ("name", "like", "%lice%"): "12", ("name", "like", "A%e"): "", ("name", "like", "a_b%c"): "6", ("name", "like", "*ob"): "4", ("name", "ilike", "%OB"): "34",
-        ("name", "not_like", "%lice"): "34567", ("name", "nlike", "bob"): "123567", ("name", "inlike", "BOB"): "12567", ("name", "contains", "o"): "45", ("name", "icontains", "O"): "345", ("name", "not_contains", "o"): "12367", ("name", "incontains", "O"): "1267",
-        ("name", "starts", "b"): "4", ("name", "istarts_with", "b"): "34", ("name", "ends", "b"): "4", ("name", "iends", "b"): "34", ("name", "contains", ""): "1234567", ("tag", "icontains", "àb"): "", ("tag", "icontains", "Àb"): "6",
-        ("name", "in", "alice, BOB"): "23", ("name", "in", ("alice", "bob")): "24", ("name", "nin", "alice"): "134567", ("name", "neq", "bob"): "123567", ("name", "eq", "bob"): "4", ("name", "lt", "Z"): "1357", ("name", "gte", "a"): "246", ("name", "between", "A", "C"): "13",
-        ("name", "exists"): "123456", ("tag", "not_exists"): "7", ("nosuch", "not_exists"): "1234567", ("nosuch", "neq", "x"): "", ("name+tag", "eq", "bobVIP"): "4", ("name+tag", "exists"): "123456",
+        ("name", "like", "Ni%"): "1", ("name", "ilike", "ni%"): "12", ("name", "like", "%ina"): "12", ("name", "like", "%ina%"): "12", ("name", "like", "N%a"): "", ("name", "like", "a_b%c"): "6", ("name", "like", "*om"): "4", ("name", "ilike", "%OM"): "34",
+        ("name", "not_like", "%ina"): "34567", ("name", "nlike", "tom"): "123567", ("name", "inlike", "TOM"): "12567", ("name", "contains", "o"): "45", ("name", "icontains", "O"): "345", ("name", "not_contains", "o"): "12367", ("name", "incontains", "O"): "1267",
+        ("name", "starts", "t"): "4", ("name", "istarts_with", "t"): "34", ("name", "ends", "m"): "4", ("name", "iends", "m"): "34", ("name", "contains", ""): "1234567", ("tag", "icontains", "àb"): "", ("tag", "icontains", "Àb"): "6",
+        ("name", "in", "nina, TOM"): "23", ("name", "in", ("nina", "tom")): "24", ("name", "nin", "nina"): "134567", ("name", "neq", "tom"): "123567", ("name", "eq", "tom"): "4", ("name", "lt", "Z"): "1357", ("name", "gte", "a"): "246", ("name", "between", "D", "U"): "13",
+        ("name", "exists"): "123456", ("tag", "not_exists"): "7", ("nosuch", "not_exists"): "1234567", ("nosuch", "neq", "x"): "", ("name+tag", "eq", "tomTOP"): "4", ("name+tag", "exists"): "123456",
     }.items():
         assert hits(t, leaf) == want, leaf
 
@@ -48,10 +48,10 @@ def test_lengths(table):
 
 
 def test_regex(table):
-    t = table(["email:varchar:64", "phone:varchar:32"], [("k1", "alice@example.com", "+15551234567"), ("k2", "bob@TEST.org", "5555555"), ("k3", "not-an-email", "+44 20 7946 0958"), ("k4", "carol@x.io", "abc"), ("k5", "abc\n", None)])
+    t = table(["email:varchar:64", "phone:varchar:32"], [("k1", "dora@mail.net", "+31612345678"), ("k2", "ned@MAIL.net", "4444444"), ("k3", "no-mail-at-all", "+49 30 1234 567"), ("k4", "fay@q.dev", "none"), ("k5", "abc\n", None)])
     for leaf, want in {
-        ("email", "regex", r"^[a-z]+@[a-z]+\.(com|io)$"): "14", ("phone", "regex", r"^\+[0-9 ]+$"): "13", ("phone", "regex", "[[:digit:]]{7}"): "12", ("email", "regex", "^(.*"): "", ("email", "not_regex", "^(.*"): "12345", ("email", "regex", "[[:upper:]]"): "2",
-        ("email", "regex", "abc$"): "", ("phone", "not_regex", "[0-9]"): "45", ("email", "nregex", "@"): "35", ("email", "regex", "o(l|b)@"): "24", ("email", "regex", "[^[:alpha:]]+-"): "", ("phone", "regex", "^5+$"): "2", ("phone", "regex", "^$"): "5",
+        ("email", "regex", r"^[a-z]+@[a-z]+\.(net|dev)$"): "14", ("phone", "regex", r"^\+[0-9 ]+$"): "13", ("phone", "regex", "[[:digit:]]{7}"): "12", ("email", "regex", "^(.*"): "", ("email", "not_regex", "^(.*"): "12345", ("email", "regex", "[[:upper:]]"): "2",
+        ("email", "regex", "abc$"): "", ("phone", "not_regex", "[0-9]"): "45", ("email", "nregex", "@"): "35", ("email", "regex", "(d|y)@"): "24", ("email", "regex", "[^[:alpha:]]+-"): "", ("phone", "regex", "^4+$"): "2", ("phone", "regex", "^$"): "5",
     }.items():
         assert hits(t, leaf) == want, leaf
 
