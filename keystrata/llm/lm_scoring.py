@@ -36,10 +36,10 @@ from . import _text as X
 from ._spark import checkpoint, parallelism, ship
 
 GROWTH, SHARED = 8, 32
-DIM, CONTEXT, NEAR = 16, 4, 24
-ROUNDS, BATCH, RATE = 2, 2048, 0.2
+DIM, CONTEXT, NEAR = 16, 3, 24
+ROUNDS, BATCH, RATE = 2, 4096, 0.2
 #: Noise classes of a mini-batch, noise words of a token.
-CLASS_NOISE, WORD_NOISE = 64, 4
+CLASS_NOISE, WORD_NOISE = 64, 2
 HEAD = 1 << 20
 #: Words that a task holds before it counts them, tokens that are scored at once, numbers in a block of parameters.
 HELD, SLICE, BLOCK = 1 << 22, 1 << 14, 1 << 16
@@ -191,7 +191,7 @@ def _log_softmax(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     scores -= top[:, None]
     hit = scores[np.arange(len(chosen)), chosen].astype(np.float64)
     np.exp(scores, out=scores)
-    return hit - np.log(scores.sum(axis=1, dtype=np.float64))
+    return hit - np.log((scores @ np.ones(scores.shape[1], scores.dtype)).astype(np.float64))
 
 
 def bisected(v: np.ndarray, parts: int) -> np.ndarray:
@@ -242,7 +242,7 @@ def initial(n: np.ndarray, near: np.ndarray, seed: int = 7) -> Model:
 
 def _add_rows(target: np.ndarray, square: np.ndarray, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
     """An Adagrad step on some rows, which may repeat."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if len(target) <= 1 << 16 else rows, kind="stable")  # a radix sort, of 16 bits
     rows = rows[order]
     lead = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     g = np.add.reduceat(slopes[order], lead, axis=0)

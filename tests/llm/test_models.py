@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keystrata.llm import _text as text_kernels
 from keystrata.llm import exact_topk, language_id, lm_scoring, quality, queries
 
 SF = "/root/testdata/sf0.001"
@@ -45,15 +46,90 @@ def test_scores(frame, monkeypatch, head):
     assert gain > 0
 
 
-def test_model_is_normalised_and_learns():
+def test_scores_against_the_models_tables(frame):
+    """Each score again, token by token in plain loops; over the whole vocabulary, the shared tokens' words and the
+    unknown one included, probabilities add up to one."""
+    rng = random.Random(2)
+    names = [f"{chr(97 + i % 26)}{i}" for i in range(400)]
+    text = lambda n: " ".join(names[min(int(rng.expovariate(0.02)), 399)] for _ in range(n))
+    rows = [(i, text(rng.randint(0, 60))) for i in range(120)] + [(500, "never seen A1 Zz9 zz9"), (501, None), (7, "b1 b1")]
+    docs = frame(rows)
+    counts, vocabulary, model, shares, (tokens, types, ends) = lm_scoring.fit(docs, "doc_id < 100")
+    v, m = vocabulary.value, model.value
+    of_word = {}
+    for i, t in rows:
+        if t and i < 100:
+            for x in WORD.findall(lower(t)):
+                of_word[x] = of_word.get(x, 0) + 1
+
+    def token(x):
+        data = np.frombuffer(x.encode(), np.uint8)
+        w = text_kernels.words(data, np.array([0, len(data)]))
+        at = np.flatnonzero(v.own == w.hashes(lower=True).view(np.int64)[0])
+        return 1 + lm_scoring.SHARED + int(at[0]) if len(at) else 1 + int(lm_scoring.suffix_bucket(w)[0])
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    def chances(before):
+        c = sum(m.R[t].astype(float) * m.far[j] for j, t in enumerate(before[::-1]))
+        kinds = softmax(m.A @ c + m.a)
+        inner = [softmax(m.Q[k * m.width : (k + 1) * m.width] @ c + m.b[k * m.width : (k + 1) * m.width]) for k in range(len(kinds))]
+        return np.array([kinds[s // m.width] * inner[s // m.width][s % m.width] for s in m.slot.tolist()])
+
+    sizes = {}
+    for x, n in of_word.items():
+        if token(x) <= lm_scoring.SHARED:
+            sizes[token(x)] = sizes.get(token(x), 0) + n + 1
+    got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.score_documents(docs, "doc_id < 100").collect()}
+    for i, t in rows[95:]:
+        seq, total = [v.tokens] * lm_scoring.CONTEXT, 0.0
+        for x in [*WORD.findall(lower(t)), None]:
+            here = 0 if x is None else token(x)
+            p = chances(seq[-lm_scoring.CONTEXT :])
+            assert p.sum() == pytest.approx(1, abs=1e-5)
+            share = 1.0 if not 0 < here <= lm_scoring.SHARED else (of_word.get(x, 0) + 1) / (sizes.get(here, 0) + 1)
+            total += math.log10(p[here] * share)
+            seq.append(here)
+        assert got[i, len(seq) - lm_scoring.CONTEXT].score == pytest.approx(total, rel=1e-4, abs=1e-3)
+    # inside a shared token: the words' shares and the unknown one's
+    for k, n in sizes.items():
+        assert sum((c + 1) / (n + 1) for x, c in of_word.items() if token(x) == k) + 1 / (n + 1) == pytest.approx(1)
+        assert shares[k - 1] == pytest.approx(math.log10(n + 1))
+
+
+def test_vocabulary_grows_with_the_corpus():
+    assert [int(lm_scoring.GROWTH * math.sqrt(n)) for n in (10**4, 10**6, 10**8)] == [800, 8000, 80000]
+
+
+def test_training_learns_what_follows_what():
+    """On a cycle of words the model is sure of the next; classes are of equal size."""
     rng = np.random.default_rng(0)
-    seq = np.tile([2, 5, 9, 7], 500) + (rng.random(2000) < 0.05)
-    codes, counts = np.unique((seq[:-2] * lm_scoring.CLASSES + seq[1:-1]) * lm_scoring.CLASSES + seq[2:], return_counts=True)
-    table = lm_scoring.train(codes, counts.astype(float))
-    assert np.allclose((10.0 ** table.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
-    assert 10 ** table[2 * lm_scoring.CLASSES + 5, 9] > 0.5 and np.isneginf(table[:, lm_scoring.BEGIN]).all()
-    empty = lm_scoring.train(np.zeros(0, np.int64), np.zeros(0))
-    assert np.allclose((10.0 ** empty.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
+    tokens = 64
+    seq = np.concatenate([np.full(lm_scoring.CONTEXT, tokens), np.tile([5, 9, 33, 7], 4000)])
+    at = np.arange(lm_scoring.CONTEXT, len(seq))
+    n = np.bincount(seq[at], minlength=tokens).astype(float)
+    near = np.zeros((tokens, lm_scoring.NEAR + 1))
+    for a, b in zip(seq[at - 1][1:].tolist(), seq[at][1:].tolist()):
+        near[b, a % lm_scoring.NEAR] += 1
+    model = lm_scoring.initial(n, near)
+    assert sorted(set(model.slot.tolist())) == sorted(model.slot.tolist()) and len(model.a) == 8 and model.width == 8
+    before = model.log_probabilities(seq, at).mean()
+    mass = np.zeros(len(model.b))
+    mass[model.slot] = (n + 0.5) / (n + 0.5).sum()
+    trainer = lm_scoring.Trainer(model.with_flat(model.flat()), mass.reshape(-1, model.width).sum(axis=1), mass, 1)
+    for _ in range(4):
+        trainer.run(seq, rng.permutation(at), 0.3)
+    assert before == pytest.approx(math.log(1 / 4), abs=0.1) and trainer.m.log_probabilities(seq, at).mean() > -0.15
+
+
+def test_tasks_that_are_rerun_change_nothing(frame):
+    """Equal rows and rows of one id have results of their own, keyed by what they hold."""
+    rows = [(1, "a b c"), (1, "a b c"), (1, "a b"), (None, "a b c"), (2, "")]
+    got = sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 9)) for r in lm_scoring.score_documents(frame(rows, extra=True), "doc_id = 1").collect())
+    again = sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 9)) for r in lm_scoring.score_documents(frame(rows[::-1], extra=True).repartition(3), "doc_id = 1").collect())
+    assert got == again and [x[:2] for x in got] == [("1", 3), ("1", 4), ("1", 4), ("2", 1), ("None", 4)]
 
 
 def test_scores_without_training(frame):
@@ -83,6 +159,9 @@ def test_language_edges(frame, spark):
     assert got[4][0] == "en" and got[5][0] == "fr" and got[7][0] == "en" and got[None][0] == "fr" and all(0 <= s <= 1 for _, s in got.values())
     assert language_id.identify(frame([(1, "abc")]), {}).first().lang_pred == "und"
     assert language_id.learn(train.where("false")) == {}
+    assert language_id.identify(frame([], extra=True), profiles).count() == 0
+    twice = language_id.identify(frame([(1, "the hat"), (1, "the hat"), (1, "le chat")]), profiles).collect()
+    assert sorted(r.lang_pred for r in twice) == ["en", "en", "fr"]
 
 
 def test_out_of_place_distance():
@@ -163,6 +242,32 @@ def test_topk(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_pivots_eliminate():
+    """On clustered vectors few candidates are scored; the result is that of scoring all."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 16))
+    x = np.floor(256 * (centres[rng.integers(0, 40, 4000)] + 0.02 * rng.standard_normal((4000, 16)))).astype(np.int64)
+    ids = np.arange(4000)
+    p = exact_topk.Pivots(ids[:500], x[:500], float((x.astype(float) ** 2).sum(axis=1).max()))
+    q = np.arange(0, 4000, 50)
+    rows, computed = exact_topk.search_block(ids, x, p.of_vectors(x), ids[q], x[q], p.of_queries(x[q]), p.to_beat(ids[q], x[q], 5), p, 5)
+    want = []
+    for i in q.tolist():
+        s = (x @ x[i]).astype(float)
+        s[i] = -np.inf
+        want += [(i, int(j), int(s[j])) for j in np.lexsort((ids, -s))[:5]]
+    assert sorted(rows) == sorted(want)
+    share = computed / len(q) / len(x)
+    print("share of candidates scored", share)
+    assert share < 0.35
+
+
+def test_topk_repeated_ids_and_empty(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.0])]
+    got = sorted(tuple(r) for r in exact_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 50).collect())
+    assert got == [(0, 1, 1, 128 * 256), (0, 2, 1, 128 * 256), (0, 3, 2, 64 * 256)]
+
+
 def test_topk_large_values_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(6)
     monkeypatch.setattr(exact_topk, "BLOCK", 64)

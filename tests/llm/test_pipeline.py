@@ -48,6 +48,32 @@ def test_stages(spark, con):
     check_packing(list(d.items()), packed, 1024)
 
 
+def test_stages_of_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, clashing columns and an empty table through every stage but the first, which
+    would reject most of them, and through all."""
+    good = " ".join(f"word{i} of the text" for i in range(40))
+    rows = [(1, good), (1, good), (2, good), (3, None), (3, None), (4, ""), (None, good), (None, None), (5, f"{good}\nanother line of the fifth document"), (6, "short")]
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_chars": F.length("text").cast("long"), "lang": F.lit(None).cast("string"), "source": F.lit("s")})
+    docs = docs.withColumns({c: F.lit("x") for c in ("n_words", "kept", "score", "d", "k", "t", "h", "n_lines", "component_id", "n_removed")})
+    empty = docs.where("false")
+    for table in (docs, empty):
+        for skip in (0, 1):
+            df = table
+            for name, stage in corpus_pipeline.STAGES[skip:]:
+                before, df = df, stage(spark, df, SF)
+                assert name == "packing" or df.columns == before.columns
+            got = df.collect()
+            if table is empty:
+                assert not got
+    ids = [r.doc_id for r in got] if got else []
+    assert ids == []
+    kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.dedup_lines(spark, docs, SF), SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, i) for i in (1, 2, 3, 4, 5, 6)] + [(True, 0)] * 2
+    assert sorted({r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()}, key=str) == sorted([1, 2, 5, None], key=str)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100

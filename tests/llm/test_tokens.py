@@ -63,6 +63,13 @@ def test_states_begin_anew(coder, monkeypatch):
         assert machine.encode(w.encode()) == list(LIBRARY._encode_single_piece(w.encode()))
 
 
+def test_states_are_bounded_inside_a_piece(coder, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MAX_STATES", 300)
+    machine, rng = byte_bpe.Transducer(coder[0].machine.ranks), random.Random(8)
+    s = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000)).encode()
+    assert machine.encode(s) == list(LIBRARY._encode_single_piece(s)) and len(machine.states) <= 301
+
+
 def test_broken_utf8_decodes_to_replacements(coder):
     ranks, decoder = coder[0].machine.ranks, coder[1]
     ids = [ranks[b"\xc3"], ranks[b"a"], ranks[b"\xe2"], ranks[b"\x82"], ranks[b"\xac"], ranks[b"\xff"]]
@@ -99,6 +106,12 @@ def test_encode_query(frame):
         assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_encode_repeated_rows_and_empty(frame):
+    got = byte_bpe.encode_documents(frame([(1, "a b"), (1, "a b"), (None, "a b")], extra=True), TIK, P.PATTERN, with_ids=False).collect()
+    assert len(got) == 3 and len({(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got}) == 1
+    assert byte_bpe.encode_documents(frame([], extra=True), TIK, P.PATTERN).count() == 0
+
+
 def check_packing(rows, got, capacity):
     """Pieces are the documents', and sequences are gapless and not too long."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -151,6 +164,25 @@ def test_plan_places_every_piece(histogram, groups):
     assert len({(s, r) for s, r, _, _ in table.tolist()}) == len(table)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_few_groups_suffice(seed):
+    """With 32 groups, rounded up, the plan is as dense as lengths allow that pair badly; sizes are few."""
+    rng = random.Random(seed)
+    histogram = defaultdict(int)
+    for _ in range(5000):
+        histogram[rng.randint(150, 800)] += 1
+    used = sum(t for t, _ in packing.plan(dict(histogram), 1024))
+    assert packing.GROUPS == 32 and used <= 1.02 * sum(s * n for s, n in histogram.items()) / 1024 + 1
+    sizes, counts = [900, 600, 400, 300, 150], [3, 50, 40, 70, 90]
+    solved = packing.configurations(sizes, counts, 1024)
+    spent = [0] * 5
+    for times, config in solved:
+        assert sum(sizes[j] * k for j, k in config) <= 1024
+        for j, k in config:
+            spent[j] += times * k
+    assert spent == counts
+
+
 def test_plan_is_near_the_bound():
     rng = random.Random(1)
     histogram = defaultdict(int)
