@@ -43,7 +43,7 @@ from . import _text as X
 from ._spark import checkpoint, id_filter, parallelism, rekeyed, replace_columns, ship, through, with_fields
 
 PREFIX = 8
-GROUP = 4096
+GROUP = 512
 #: Symbols of one in-memory subtree batch.
 TREE_SYMBOLS = 1 << 20
 #: Rows of one id are told apart by their texts' hashes, as far as a hot id needs to be spread.
