@@ -35,8 +35,10 @@ def as_list(x: Any) -> list:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, guarded: bool = False):
-        """``guarded``: requests need a token or a trusted address."""
+    def __init__(self, spark: SparkSession, root: str, guarded: bool = False, response_rows: int = 1_000_000):
+        """``guarded``: requests need a token or a trusted address. ``response_rows``: rows that a response, which the
+        driver holds, has at most."""
+        self.response_rows = response_rows
         self.spark, self.catalog = spark, Catalog(spark, root)
         self.access, self.guarded = Access(self.catalog.files), guarded
         self.writer, self.schemas, self.blobs = Writer(self.catalog), SchemaOps(self.catalog), Blobs(self.catalog)
@@ -85,8 +87,8 @@ class Engine:
                 raise RequestError(f"unknown mode: {r.get('mode')}")
             if self.guarded:
                 self.access.check(r, ip)
-            if r.get("limit") == Q.ALL:
-                raise RequestError("a response is a page: limit must be a number (frame() takes all, write_csv and write_json put it into files)")
+            if r.get("limit") == Q.ALL or Q.page_size(r.get("limit")) > self.response_rows:
+                raise RequestError(f"a response is a page of {self.response_rows} rows at most: limit must be a number up to that (frame() takes more, write_csv and write_json put it into files)")
             self.served[r["mode"]] += 1
             return self._timed(handler, r)
         except Timeout as e:
@@ -158,12 +160,17 @@ class Engine:
         return self.frame(r).first()[0]
 
     def _aggregate(self, r: dict) -> Any:
-        df = self.frame(r)
+        specs = A.parse_specs(r.get("aggregates"))
+        # a global aggregate of no rows is no row: their number comes from the same scan
+        counted = bool(r.get("criteria")) and not Q.names(r.get("group_by")) and r.get("format") != "csv" and len(specs) < A.MAX_SPECS
+        df = self.frame(r | {"aggregates": [*map(vars, specs), {"fn": "count", "alias": "__rows"}]} if counted else r)
         if r.get("format") == "csv":
             return formats.to_csv(df, formats.delimiter_of(r.get("delimiter")))
         rows = [{k: formats.plain(v) for k, v in x.asDict().items()} for x in df.toLocalIterator()]
         if Q.names(r.get("group_by")):
             return rows
+        if counted:
+            return {k: v for k, v in rows[0].items() if k != "__rows"} if rows and rows[0]["__rows"] else []
         if r.get("criteria") and self.frame({"mode": "count", "dir": r["dir"], "object": r["object"], "criteria": r["criteria"]}).first()[0] == 0:
             return []
         return rows[0] if rows else []

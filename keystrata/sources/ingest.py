@@ -62,14 +62,23 @@ def inline(spark: SparkSession, records: Any, fields: list[Field]) -> DataFrame:
 
 
 def json_file(spark: SparkSession, path: str, fields: list[Field]) -> DataFrame:
-    """One JSON document in either form, parsed on the executors."""
+    """One JSON document in either form, parsed on the executors by one task a file; or, for large loads, files named
+    ``.jsonl`` or ``.ndjson`` (or folders of such a name) with a record ``{"key", "value"}`` a line, which are split."""
     value = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    if path.rstrip("/").endswith((".jsonl", ".ndjson")):
+        record = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", value)])
+        lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_n")).where(F.trim("value") != "")
+        return _records(lines.select("_n", F.from_json("value", record).alias("r")).select("_n", "r.key", "r.value"), fields)
     text = spark.read.text(path, wholetext=True)
     as_list = F.from_json("value", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", value)])))
     as_dict = F.from_json("value", T.MapType(T.StringType(), value))
     is_list = F.ltrim(F.col("value"), F.lit(" \t\r\n")).startswith("[")
     entries = F.when(is_list, as_list).otherwise(F.transform(F.map_entries(as_dict), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-    rows = text.select(F.posexplode(entries).alias("_n", "r")).select(F.col("_n").cast("long"), "r.key", "r.value")
+    return _records(text.select(F.posexplode(entries).alias("_n", "r")).select(F.col("_n").cast("long"), "r.key", "r.value"), fields)
+
+
+def _records(rows: DataFrame, fields: list[Field]) -> DataFrame:
+    """Typed fields of rows (_n, key, value), the value a structure of texts."""
     given = F.array_compact(F.array(*(F.when(F.col(f"value.`{f.name}`").isNotNull(), F.lit(f.name)) for f in fields)))
     return rows.select("key", "_n", given.alias("_given"), *(typed(F.col(f"value.`{f.name}`"), f).alias(f.name) for f in fields))
 

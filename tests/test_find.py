@@ -146,7 +146,7 @@ def test_joins(ask):
 
 def test_limits(ask):
     assert "number" in ask("find", object="visits", limit="many")["error"] and "page" in ask("find", object="visits", limit="all")["error"]
-    assert "error" in ask("aggregate", object="visits", group_by="status", limit="x") and "error" in ask("fetch", object="visits", limit=[1])
+    assert "page" in ask("find", object="visits", limit=2_000_000)["error"] and "error" in ask("aggregate", object="visits", group_by="status", limit="x") and "error" in ask("fetch", object="visits", limit=[1])
 
 
 def test_frames_of_all_rows(engine):

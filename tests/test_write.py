@@ -75,6 +75,13 @@ def test_files_in(obj, tmp_path):
     assert obj("get", key="p1") == {"name": '"raw"', "status": "shut", "amount": 4}
 
 
+def test_json_lines(obj, tmp_path):
+    lines = [json.dumps({"key": f"l{i}", "value": {"name": f"n{i}", "amount": i}}) for i in range(50)] + ["", json.dumps({"key": "l3", "value": {"name": "last"}})]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    assert obj("bulk-insert", file=str(tmp_path / "x.jsonl")) == {"inserted": 50}
+    assert obj("get", keys=["l2", "l3"]) == {"l2": {"name": "n2", "amount": 2}, "l3": {"name": "last"}}
+
+
 def test_truncation_by_bytes(ask):
     ask("create-object", object="short", fields=["s:varchar:3"])
     ask("insert", object="short", key="k", value={"s": "abcdef"})
