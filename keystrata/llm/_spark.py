@@ -7,12 +7,9 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,38 +64,28 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: Bits of an id filter: 8 MB at most are collected and broadcast, however many ids there are.
+#: Bits of an id filter: 2048 rows of 4 KB at most are broadcast, however many ids there are.
 FILTER_BITS = 1 << 26
 
 
-def _place(column: Column | str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
 
 
-def id_filter(ids: DataFrame, column: str) -> Broadcast:
+def id_filter(ids: DataFrame, column: str) -> DataFrame:
     """A bitmap of the hashes of ``column``, to keep rows of other ids out of a shuffle. Where the ids are so many
     that it fills, more rows pass; the join after it decides."""
-    at = _place(column) + 1
-    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        bits[(r["b"] - 1) * len(r["m"]) : r["b"] * len(r["m"])] = np.frombuffer(r["m"], np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(bits)
+    at = _place(column)
+    return ids.groupBy(F.bitmap_bucket_number(at).alias("_pf_key")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_pf_map"))
 
 
-def through(df: DataFrame, ids: Broadcast, column: str, listed: bool = True) -> DataFrame:
+def through(df: DataFrame, ids: DataFrame, column: str, listed: bool = True) -> DataFrame:
     """Rows whose ``column`` the filter lists (or doesn't); a null id isn't listed."""
-    place = "_place_in_filter"
-    schema, names = df.schema, df.columns
-
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(len(names))
-            x = np.asarray(at.fill_null(0)).astype(np.int64)
-            hit = ((ids.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(bool) & np.asarray(at.is_valid())
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(hit == listed))
-
-    return df.withColumn(place, F.when(F.col(column).isNotNull(), _place(column))).mapInArrow(select, schema)
+    at = F.when(F.col(column).isNotNull(), _place(column))
+    placed = df.withColumns({"_pf_row": F.bitmap_bucket_number(at), "_pf_bit": F.bitmap_bit_position(at)})
+    byte = "cast(conv(hex(substring(_pf_map, cast(_pf_bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"coalesce((shiftright({byte}, cast(_pf_bit % 8 as int)) & 1) = 1, false)")
+    return placed.join(F.broadcast(ids), F.col("_pf_row") == F.col("_pf_key"), "left").where(hit if listed else ~hit).select(df.columns)
 
 
 def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
