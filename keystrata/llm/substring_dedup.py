@@ -10,9 +10,10 @@ map-side aggregate, so copies of a document cost one context however many there
 all lie in one document has no repeat; one with a single context is a single path. Neither needs a tree.
 
 *Groups.* The contexts of a minimizer are one group if there are ``group`` of them at most. Otherwise their suffixes are
-split by the words that they begin with, in steps of half as many more (8, 12, 18, ... words): at each step a prefix
-that only one document has is done, one with ``group`` suffixes at most is a group, and the others are
-lengthened. A prefix as long as a window is a single node, whose smallest id a distributed minimum gives.
+told apart by their windows first: one that only one document has is done, and one with more than ``group``
+suffixes, which no shorter prefix could bring into a group, is a single node, whose smallest id a distributed minimum
+gives. The others are split by the words that they begin with, in steps of half as many more (8, 12, 18, ... words):
+at each step a prefix with ``group`` suffixes at most is a group, and the others are lengthened.
 
 *Subtrees* are suffix arrays with the lengths of neighbours' common prefixes. The leaves below a deep internal node (of
 ``min_words`` or more) are a repeat, and the smallest id among them is the source of the others.
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -244,24 +246,28 @@ def _subtrees(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
         yield solve(held)
 
 
-def _split(hot: DataFrame, min_words: int, group: int) -> tuple[DataFrame | None, DataFrame | None]:
+def _split(hot: DataFrame, min_words: int, group: int) -> tuple[DataFrame, DataFrame]:
     """Suffixes below large minimizers: those in groups (group, p, c, i, d, symbols), and those that are one node (p, c, i, low)."""
     suffixes = checkpoint(hot.select("p", "c", "d", "symbols").mapInArrow(lambda it: _prefixes(it, min_words), "p long, c long, d long, i int, keys array<long>"))
-    groups = None
-    steps = ladder(min_words)
-    for level in range(len(steps)):
-        g = F.xxhash64("p", F.col("keys")[level])
-        left = suffixes.withColumn("g", g)
+    last = len(ladder(min_words)) - 1
+    key = lambda level: F.xxhash64("p", F.col("keys")[level])
+
+    def counted(left: DataFrame, level: int) -> DataFrame:
+        left = left.select("p", "c", "d", "i", "keys").withColumn("g", key(level))
         sizes = left.groupBy("g").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
-        left = checkpoint(left.join(rekeyed(sizes.select("g", "low", "m"), "g"), "g"))
-        if level + 1 == len(steps):
-            return groups, left.select("p", "c", "i", "low")
-        fits = left.where(F.col("m") <= group).select("g", "p", "c", "i", "d")
-        groups = fits if groups is None else groups.unionByName(fits)
-        suffixes = left.where(F.col("m") > group).select("p", "c", "d", "i", "keys")
+        return checkpoint(left.join(rekeyed(sizes.select("g", "low", "m"), "g"), "g"))
+
+    # windows first: most suffixes of copies have one that is too frequent for any prefix's group, others one of a single document
+    windows = counted(suffixes, last)
+    suffixes, groups = windows.where(F.col("m") <= group), []
+    for level in range(last):
         if suffixes.isEmpty():
-            return groups, None
-    return groups, None
+            break
+        left = counted(suffixes, level)
+        groups.append(left.where(F.col("m") <= group).select("g", "p", "c", "i", "d"))
+        suffixes = left.where(F.col("m") > group)
+    groups.append(suffixes.select(key(last).alias("g"), "p", "c", "i", "d"))
+    return reduce(DataFrame.unionByName, groups), windows.where(F.col("m") > group).select("p", "c", "i", "low")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], min_words: int, text_at: int, names: list[str], text: str, out: str | None) -> Iterator[pa.RecordBatch]:
@@ -347,11 +353,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
     hot = pieces.where(F.col("n") > group)
     split = None
     if not hot.isEmpty():
-        groups, single = _split(hot, min_words, group)
-        if groups is not None:
-            words_ = F.substring("symbols", F.col("i") * 8 + 1, F.lit(8 * min_words))
-            whole = whole.unionByName(groups.join(hot.select("p", "c", "symbols"), ["p", "c"]).select("g", "p", "c", "i", "d", words_.alias("symbols")))
-        split = single
+        groups, split = _split(hot, min_words, group)
+        words_ = F.substring("symbols", F.col("i") * 8 + 1, F.lit(8 * min_words))
+        whole = whole.unionByName(groups.join(hot.select("p", "c", "symbols"), ["p", "c"]).select("g", "p", "c", "i", "d", words_.alias("symbols")))
     trees = whole.repartition(parallelism(spark), "g").sortWithinPartitions("g").mapInArrow(lambda it: _subtrees(it, min_words), "p long, c long, i int, least array<long>")
     if not hot.isEmpty():
         trees = checkpoint(trees)

@@ -86,6 +86,25 @@ def test_substrings_hot_copies_and_equal_ids(frame):
             assert sha(" ".join(words(r.text))) == r.kept_sha256
 
 
+def test_substrings_of_near_copies_are_split_once(frame, monkeypatch):
+    """Suffixes below a large minimizer meet their prefixes' sizes about once each, not at every length."""
+    rng = random.Random(1)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(200)]
+    rows = [(i, " ".join(f"x{i}" if j == (i * 37) % 200 else x for j, x in enumerate(base))) for i in range(100)]
+    made, real = {"all": 0, "counted": 0}, substring_dedup.checkpoint
+
+    def spy(df):
+        out = real(df)
+        if "keys" in out.columns:
+            made["counted" if "m" in out.columns else "all"] += out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "checkpoint", spy)
+    got = substring_dedup.dedup_substrings(frame(rows), 50, group=16).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=str) == brute_substrings(rows, 50)
+    assert 0 < made["counted"] <= 1.2 * made["all"]
+
+
 def test_substrings_keep_white_space_and_long_texts(frame):
     long = " ".join(f"v{i}" for i in range(120_000))
     rows = [(1, long), (2, "a\n\nb  " + long + "\n c"), (3, "x  y\n")]
