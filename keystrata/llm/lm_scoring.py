@@ -41,16 +41,19 @@ ROUNDS, BATCH, RATE = 2, 4096, 0.2
 #: Noise classes of a mini-batch, noise words of a token.
 CLASS_NOISE, WORD_NOISE = 64, 2
 HEAD = 1 << 20
-#: Words that a task holds before it counts them, tokens that are scored at once, numbers in a block of parameters.
-HELD, SLICE, BLOCK = 1 << 22, 1 << 14, 1 << 16
+#: Words that a task holds before it counts them, tokens that are sorted by class at once, those of them that are
+#: normalised at once (their scores stay in a core's cache), numbers in a block of parameters.
+HELD, SLICE, ROWS, BLOCK = 1 << 22, 1 << 17, 1 << 10, 1 << 16
+#: The bias of an empty slot in sums.
+NEVER = np.float32(-1e30)
 END_HASH = np.int64(0x454E445F544F4B45)
 
 
-def suffix_bucket(w: X.Words) -> np.ndarray:
-    """The shared token of each word, by its last two bytes."""
-    low = X._LOWER[w.data]
-    last = low[w.ends - 1].astype(np.uint64)
-    before = np.where(w.ends - w.starts > 1, low[np.maximum(w.ends - 2, 0)], 0).astype(np.uint64)
+def suffix_bucket(w: X.Words, which: np.ndarray | None = None) -> np.ndarray:
+    """The shared token of each word (of those at ``which``), by its last two bytes."""
+    starts, ends = (w.starts, w.ends) if which is None else (w.starts[which], w.ends[which])
+    last = X._LOWER[w.data[ends - 1]].astype(np.uint64)
+    before = np.where(ends - starts > 1, X._LOWER[w.data[np.maximum(ends - 2, 0)]], 0).astype(np.uint64)
     return (X.mix(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(SHARED)).astype(np.int64)
 
 
@@ -99,23 +102,48 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.own = np.sort(own)
+        self.own_counts = self.counts[_find(self.hashes, self.own)]
+        # places of the own words by the low bits of their hashes; -1 none, -2 several
+        self.low = np.int64((1 << (16 * len(own)).bit_length()) - 1)
+        self.place = np.full(int(self.low) + 1, -1, np.int32)
+        bits, n = np.unique(self.own & self.low, return_counts=True)
+        self.place[self.own & self.low] = np.arange(len(own))
+        self.place[bits[n > 1]] = -2
         self.tokens = 1 + SHARED + len(own)
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places in ``own``, -1 where absent."""
+        if not len(self.own):
+            return np.full(len(h), -1)
+        at = self.place[h & self.low].astype(np.int64)
+        one, several = np.flatnonzero(at >= 0), np.flatnonzero(at == -2)
+        at[one[self.own[at[one]] != h[one]]] = -1
+        at[several] = _find(self.own, h[several])
+        return at
+
     def sequence(self, w: X.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts, each after ``CONTEXT`` beginnings and before the end, and the places of the targets."""
-        at = _find(self.own, h)
+        at = self.find(h)
+        rest = np.flatnonzero(at < 0)
+        at += 1 + SHARED
+        at[rest] = 1 + suffix_bucket(w, rest)
         texts = len(w.first) - 1
         seq = np.full(len(h) + (CONTEXT + 1) * texts, self.tokens, np.int64)
         place = np.arange(len(h)) + (CONTEXT + 1) * w.owner() + CONTEXT
-        seq[place] = np.where(at >= 0, 1 + SHARED + at, 1 + suffix_bucket(w))
+        seq[place] = at
         ends = w.first[1:] + (CONTEXT + 1) * np.arange(1, texts + 1) - 1
         seq[ends] = 0
         return seq, np.flatnonzero(seq != self.tokens)
 
     def count(self, h: np.ndarray) -> np.ndarray:
         """Counts, -1 for words that aren't in the head."""
-        at = _find(self.hashes, h)
-        return np.where(at >= 0, self.counts[at], -1) if len(self.hashes) else at
+        out = self.find(h)
+        own, rest = np.flatnonzero(out >= 0), np.flatnonzero(out < 0)
+        out[own] = self.own_counts[out[own]]
+        if len(self.hashes):
+            at = _find(self.hashes, h[rest])
+            out[rest] = np.where(at >= 0, self.counts[at], -1)
+        return out
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -162,36 +190,55 @@ class Model:
         return Model(self.slot, self.width, **new)
 
     def prediction(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = self.R[seq[at - 1]] * self.far[0]
+        out = self.R.take(seq[at - 1], axis=0) * self.far[0]
         for j in range(1, CONTEXT):
-            out += self.R[seq[at - 1 - j]] * self.far[j]
+            out += self.R.take(seq[at - 1 - j], axis=0) * self.far[j]
         return out
 
     def log_probabilities(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Normalised natural log-probability of the tokens at some places of a sequence."""
         out = np.empty(len(at))
+        # biases are one more row, which a last column of ones meets
+        kinds = np.concatenate([self.A.T, self.a[None]])
+        inner = np.concatenate([self.Q.reshape(-1, self.width, DIM).transpose(0, 2, 1), np.maximum(self.b, NEVER).reshape(-1, 1, self.width)], axis=1)
         for lo in range(0, len(at), SLICE):
             part = at[lo : lo + SLICE]
             slot = self.slot[seq[part]]
-            kind, place = slot // self.width, slot % self.width
-            order = np.argsort(kind, kind="stable")
-            c = self.prediction(seq, part[order])
-            kind, place = kind[order], place[order]
-            found = _log_softmax(c @ self.A.T + self.a, kind)
-            edges = np.searchsorted(kind, np.arange(len(self.a) + 1))
-            for k in np.unique(kind).tolist():
-                i, j, s = edges[k], edges[k + 1], slice(k * self.width, (k + 1) * self.width)
-                found[i:j] += _log_softmax(c[i:j] @ self.Q[s].T + self.b[s], place[i:j])
+            order = _order(slot, len(self.b))
+            kind, place = slot[order] // self.width, slot[order] % self.width
+            c = np.ones((len(part), DIM + 1), np.float32)
+            c[:, :DIM] = self.prediction(seq, part[order])
+            found = np.empty(len(part))
+            for i in range(0, len(part), ROWS):
+                found[i : i + ROWS] = _log_softmax(c[i : i + ROWS], kinds, kind[i : i + ROWS])
+            edges = np.searchsorted(kind, np.arange(len(self.a) + 1)).tolist()
+            for k, (first, last) in enumerate(zip(edges, edges[1:])):
+                for i in range(first, last, ROWS):
+                    j = min(last, i + ROWS)
+                    found[i:j] += _log_softmax(c[i:j], inner[k], place[i:j])
             out[lo + order] = found
         return out
 
 
-def _log_softmax(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    top = scores.max(axis=1)
-    scores -= top[:, None]
+def _order(keys: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of keys below ``most``; up to 16 bits it is a radix sort."""
+    return np.argsort(keys.astype(np.uint16) if most <= 1 << 16 else keys, kind="stable")
+
+
+def _log_softmax(c: np.ndarray, table: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Of the scores ``c @ table``. Only rows whose exponentials leave the range of a float are shifted by their maximum."""
+    scores = c @ table
     hit = scores[np.arange(len(chosen)), chosen].astype(np.float64)
-    np.exp(scores, out=scores)
-    return hit - np.log((scores @ np.ones(scores.shape[1], scores.dtype)).astype(np.float64))
+    with np.errstate(over="ignore", divide="ignore"):
+        np.exp(scores, out=scores)
+        total = scores @ np.ones(scores.shape[1], scores.dtype)
+        out = hit - np.log(total.astype(np.float64))
+    odd = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
+    if len(odd):
+        scores = c[odd].astype(np.float64) @ table
+        top = scores.max(axis=1)
+        out[odd] = scores[np.arange(len(odd)), chosen[odd]] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    return out
 
 
 def bisected(v: np.ndarray, parts: int) -> np.ndarray:
@@ -240,15 +287,21 @@ def initial(n: np.ndarray, near: np.ndarray, seed: int = 7) -> Model:
     return Model(slot, width, f32(v + draw(*v.shape)), f32(np.full((CONTEXT, DIM), 1 / CONTEXT)), f32(draw(parts, DIM)), f32(np.log(kinds / kinds.sum())), f32(draw(parts * width, DIM)), f32(b))
 
 
-def _add_rows(target: np.ndarray, square: np.ndarray, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
-    """An Adagrad step on some rows, which may repeat."""
-    order = np.argsort(rows.astype(np.uint16) if len(target) <= 1 << 16 else rows, kind="stable")  # a radix sort, of 16 bits
+def _add_rows(rows: np.ndarray, rate: float, *updates: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """An Adagrad step on some rows, which may repeat, of each (target, square, slopes)."""
+    order = _order(rows, len(updates[0][0]))
     rows = rows[order]
     lead = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    g = np.add.reduceat(slopes[order], lead, axis=0)
     rows = rows[lead]
-    square[rows] += g * g
-    target[rows] += rate * g / np.sqrt(square[rows])
+    for target, square, slopes in updates:
+        g = np.add.reduceat(slopes.take(order, axis=0), lead, axis=0)
+        s = square.take(rows, axis=0)
+        s += g * g
+        square[rows] = s
+        g *= rate
+        g /= np.sqrt(s, out=s)
+        g += target.take(rows, axis=0)
+        target[rows] = g
 
 
 class Trainer:
@@ -259,46 +312,55 @@ class Trainer:
         self.kinds, self.mass = kinds, mass  # shares of the classes, of the slots in all
         self.class_sums = np.cumsum(kinds)
         self.slot_sums = np.concatenate([[0.0], np.cumsum(mass)])
+        edges = self.slot_sums[:: model.width]
+        self.low, self.span = edges[:-1], np.diff(edges)
+        self.usable = mass > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.shift = np.log(CLASS_NOISE * kinds).astype(np.float32)
+            self.chance = np.where(self.usable, np.log(WORD_NOISE * mass / np.repeat(self.span, model.width)), 0).astype(np.float32)
         self.square = {n: np.full(getattr(model, n).shape, 1e-2, np.float32) for n in Model.NAMES}
 
     def step(self, seq: np.ndarray, at: np.ndarray, rate: float) -> None:
         m, n = self.m, len(at)
         slot = m.slot[seq[at]]
+        order = _order(slot, len(m.b))  # neighbours read the same rows
+        at, slot = at[order], slot[order]
         kind = slot // m.width
-        c = m.prediction(seq, at)
+        before = np.stack([seq[at - 1 - j] for j in range(CONTEXT)])
+        r = m.R.take(before, axis=0)
+        c = r[0] * m.far[0]
+        for j in range(1, CONTEXT):
+            c += r[j] * m.far[j]
         # classes: one draw of noise for the batch
         drawn = np.minimum(np.searchsorted(self.class_sums, self.rng.random(CLASS_NOISE)), len(self.kinds) - 1)
-        shift = np.log(CLASS_NOISE * self.kinds).astype(np.float32)
-        real = np.einsum("nd,nd->n", c, m.A[kind]) + m.a[kind] - shift[kind]
-        fake = c @ m.A[drawn].T + m.a[drawn] - shift[drawn]
+        bias = m.a - self.shift
+        own, noise = m.A.take(kind, axis=0), m.A[drawn]
+        real = np.einsum("nd,nd->n", c, own) + bias[kind]
+        fake = c @ noise.T + bias[drawn]
         up, down = _sigmoid(-real), -_sigmoid(fake)
-        to_c = up[:, None] * m.A[kind] + down @ m.A[drawn]
+        to_c = down @ noise
+        own *= up[:, None]
+        to_c += own
         rows = np.concatenate([kind, drawn])
         slopes = np.concatenate([up[:, None] * c, down.T @ c])
         bias = np.concatenate([up, down.sum(axis=0)])
         # words: noise from the target's own class
-        lo, hi = self.slot_sums[kind * m.width], self.slot_sums[(kind + 1) * m.width]
-        u = lo[:, None] + (hi - lo)[:, None] * self.rng.random((n, WORD_NOISE))
+        u = self.low[kind][:, None] + self.span[kind][:, None] * self.rng.random((n, WORD_NOISE))
         other = np.clip(np.searchsorted(self.slot_sums, u, "right") - 1, (kind * m.width)[:, None], ((kind + 1) * m.width - 1)[:, None])
         both = np.concatenate([slot[:, None], other], axis=1)
-        with np.errstate(divide="ignore"):
-            chance = np.log(WORD_NOISE * self.mass[both] / (hi - lo)[:, None]).astype(np.float32)
-        usable = self.mass[both] > 0
-        q = m.Q[both]
-        fit = np.where(usable, np.einsum("nkd,nd->nk", q, c) + np.where(usable, m.b[both], 0) - np.where(usable, chance, 0), 0)
+        usable = self.usable[both]
+        q = m.Q.take(both, axis=0)
+        fit = np.einsum("nkd,nd->nk", q, c) + m.b.take(both) - self.chance.take(both)
+        if not usable.all():
+            fit = np.where(usable, fit, 0)
         slope = -_sigmoid(fit)
         slope[:, 0] += 1
         slope *= usable
         to_c += np.einsum("nk,nkd->nd", slope, q)
-        flat = slope.ravel()
-        used = both.ravel()
-        _add_rows(m.Q, self.square["Q"], used, (slope[:, :, None] * c[:, None, :]).reshape(-1, DIM), rate)
-        _add_rows(m.b, self.square["b"], used, flat, rate)
-        _add_rows(m.A, self.square["A"], rows, slopes, rate)
-        _add_rows(m.a, self.square["a"], rows, bias, rate)
-        before = np.stack([seq[at - 1 - j] for j in range(CONTEXT)])
-        g = np.stack([(to_c * m.R[before[j]]).sum(axis=0) for j in range(CONTEXT)])
-        _add_rows(m.R, self.square["R"], before.ravel(), (to_c[None] * m.far[:, None, :]).reshape(-1, DIM), rate)
+        _add_rows(both.ravel(), rate, (m.Q, self.square["Q"], (slope[:, :, None] * c[:, None, :]).reshape(-1, DIM)), (m.b, self.square["b"], slope.ravel()))
+        _add_rows(rows, rate, (m.A, self.square["A"], slopes), (m.a, self.square["a"], bias))
+        g = np.stack([np.einsum("nd,nd->d", to_c, r[j]) for j in range(CONTEXT)])
+        _add_rows(before.ravel(), rate, (m.R, self.square["R"], (to_c[None] * m.far[:, None, :]).reshape(-1, DIM)))
         self.square["far"] += g * g
         m.far += rate * g / np.sqrt(self.square["far"])
 
@@ -309,7 +371,10 @@ class Trainer:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    out = np.clip(x, -30, 30)
+    np.exp(np.negative(out, out=out), out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def _train(batches: Iterator[pa.RecordBatch], vocabulary, shared, rate: float) -> Iterator[pa.RecordBatch]:

@@ -124,6 +124,42 @@ def test_training_learns_what_follows_what():
     assert before == pytest.approx(math.log(1 / 4), abs=0.1) and trainer.m.log_probabilities(seq, at).mean() > -0.15
 
 
+@pytest.mark.parametrize("scale", [1, 300])
+def test_scoring_in_small_blocks(monkeypatch, scale):
+    """Scores are normalised a few rows at a time, and right where exponentials leave the range of a float."""
+    rng = np.random.default_rng(3)
+    tokens = 100
+    model = lm_scoring.initial(rng.integers(1, 500, tokens).astype(float), rng.integers(0, 9, (tokens, lm_scoring.NEAR + 1)).astype(float))
+    model = model.with_flat(np.where(np.isfinite(x := model.flat()), x + rng.standard_normal(len(x)) * np.sqrt(scale), x))
+    seq = np.concatenate([np.full(lm_scoring.CONTEXT, tokens), rng.integers(0, tokens, 5000)])
+    at = rng.permutation(np.arange(lm_scoring.CONTEXT, len(seq)))
+    sizes, real = [], lm_scoring._log_softmax
+    monkeypatch.setattr(lm_scoring, "_log_softmax", lambda *a: sizes.append(len(a[0])) or real(*a))
+    got = model.log_probabilities(seq, at)
+    log_sum = lambda x: x.max(axis=-1) + np.log(np.exp(x - x.max(axis=-1, keepdims=True)).sum(axis=-1))
+    c = model.prediction(seq, at).astype(float)
+    kinds, inner = c @ model.A.T.astype(float) + model.a, (c @ model.Q.T.astype(float) + model.b).reshape(len(at), -1, model.width)
+    slot, row = model.slot[seq[at]], np.arange(len(at))
+    kind, place = slot // model.width, slot % model.width
+    want = kinds[row, kind] - log_sum(kinds) + inner[row, kind, place] - log_sum(inner[row, kind])
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-3 * scale) and max(sizes) <= 1024
+
+
+def test_own_words_are_found_without_a_search(monkeypatch):
+    rng = np.random.default_rng(4)
+    hashes = np.unique(rng.integers(-(2**63), 2**63 - 1, 5000))
+    hashes[1] = hashes[0] + (1 << 40)  # two with the same low bits
+    counts = rng.integers(1, 99, len(hashes))
+    own = np.concatenate([hashes[:2], rng.choice(hashes[2:], 300, replace=False)])
+    v = lm_scoring.Vocabulary(rng.permutation(hashes), counts, own)
+    of = dict(zip(v.hashes.tolist(), v.counts.tolist()))
+    searched, real = [], lm_scoring._find
+    monkeypatch.setattr(lm_scoring, "_find", lambda table, h: searched.append(len(h)) or real(table, h))
+    asked = np.concatenate([np.repeat(own, 100), rng.integers(-(2**63), 2**63 - 1, 50), hashes[-50:]])
+    assert v.count(asked).tolist() == [of.get(x, -1) for x in asked.tolist()]
+    assert sum(searched) < 1000
+
+
 def test_tasks_that_are_rerun_change_nothing(frame):
     """Equal rows and rows of one id have results of their own, keyed by what they hold."""
     rows = [(1, "a b c"), (1, "a b c"), (1, "a b"), (None, "a b c"), (2, "")]
