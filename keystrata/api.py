@@ -6,9 +6,10 @@ import json
 import threading
 import time
 from collections import Counter
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from .access import Access
 from .operators import aggregate as A
@@ -87,7 +88,7 @@ class Engine:
                 raise RequestError(f"unknown mode: {r.get('mode')}")
             if self.guarded:
                 self.access.check(r, ip)
-            if r.get("limit") == Q.ALL or Q.page_size(r.get("limit")) > self.response_rows:
+            if r.get("limit") == Q.ALL or Q.page_size(r.get("limit"), 0 if r["mode"] == "aggregate" else Q.GLOBAL_LIMIT) > self.response_rows:
                 raise RequestError(f"a response is a page of {self.response_rows} rows at most: limit must be a number up to that (frame() takes more, write_csv and write_json put it into files)")
             self.served[r["mode"]] += 1
             return self._timed(handler, r)
@@ -159,14 +160,21 @@ class Engine:
             return self.catalog.meta(r["dir"], r["object"])["count"]
         return self.frame(r).first()[0]
 
+    def _held(self, df: DataFrame) -> Iterator[Row]:
+        """All rows of a response, or an error if it can't hold them."""
+        for i, row in enumerate(df.toLocalIterator()):
+            if i == self.response_rows:
+                raise RequestError(f"more than {self.response_rows} groups: give a limit (frame() takes them all)")
+            yield row
+
     def _aggregate(self, r: dict) -> Any:
         specs = A.parse_specs(r.get("aggregates"))
         # a global aggregate of no rows is no row: their number comes from the same scan
         counted = bool(r.get("criteria")) and not Q.names(r.get("group_by")) and r.get("format") != "csv" and len(specs) < A.MAX_SPECS
         df = self.frame(r | {"aggregates": [*map(vars, specs), {"fn": "count", "alias": "__rows"}]} if counted else r)
         if r.get("format") == "csv":
-            return formats.to_csv(df, formats.delimiter_of(r.get("delimiter")))
-        rows = [{k: formats.plain(v) for k, v in x.asDict().items()} for x in df.toLocalIterator()]
+            return formats.csv_lines(df.columns, self._held(df), formats.delimiter_of(r.get("delimiter")))
+        rows = [{k: formats.plain(v) for k, v in x.asDict().items()} for x in self._held(df)]
         if Q.names(r.get("group_by")):
             return rows
         if counted:

@@ -15,7 +15,7 @@ from ..plans import criteria as C
 from ..plans.compile import check_having, compile_criteria, quoted, value_of
 from ..plans.table import Table, adapt
 from ..plans.types import NUMBERS, TIMES, RequestError
-from .find import limited, names, where
+from .find import ALL, limited, names, where
 
 FUNCTIONS = ("count", "sum", "avg", "min", "max")
 MAX_SPECS = 32
@@ -96,6 +96,7 @@ def aggregate(
     zero_is_absent: bool = False,
     lenient: bool = False,
 ) -> DataFrame:
+    """A row for each group that passes ``having``: every one, unless a limit is given."""
     specs = [s if isinstance(s, AggSpec) else parse_specs([s])[0] for s in specs or [{"fn": "count"}]]
     parse_specs([vars(s) for s in specs])
     groups = names(group_by) or []
@@ -116,5 +117,5 @@ def aggregate(
     down = str(order).lower() == "desc"
     if groups:
         columns = [quoted(x).desc_nulls_last() if down else quoted(x).asc_nulls_first() for x in by]
-        df = limited(df.orderBy(*columns, *(quoted(g).asc_nulls_first() for g in groups if g not in by)), limit)
+        df = limited(df.orderBy(*columns, *(quoted(g).asc_nulls_first() for g in groups if g not in by)), limit, ALL)
     return df

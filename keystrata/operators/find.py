@@ -64,15 +64,16 @@ def project(table: Table, df: DataFrame, fields: str | Iterable[str] | None, key
     return df.select(*columns)
 
 
-def page_size(limit: int | str | None) -> int:
+def page_size(limit: int | str | None, default: int | str = GLOBAL_LIMIT) -> int | str:
     try:
-        return int(limit) if limit and int(limit) > 0 else GLOBAL_LIMIT
+        return int(limit) if limit and int(limit) > 0 else default
     except (TypeError, ValueError):
         raise RequestError(f"limit must be a number: {limit}") from None
 
 
-def limited(df: DataFrame, limit: int | str | None) -> DataFrame:
-    return df if limit == ALL else df.limit(page_size(limit))
+def limited(df: DataFrame, limit: int | str | None, default: int | str = GLOBAL_LIMIT) -> DataFrame:
+    size = ALL if limit == ALL else page_size(limit, default)
+    return df if size == ALL else df.limit(size)
 
 
 def _order(table: Table, order_by: str | Sequence[str] | None, order: str = "asc") -> list[Column]:

@@ -2,6 +2,10 @@
 
 import pytest
 
+from keystrata.api import Engine
+from keystrata.operators.aggregate import aggregate
+from keystrata.plans.table import adapt
+
 
 @pytest.fixture(scope="module", autouse=True)
 def tables(make):
@@ -49,3 +53,17 @@ def test_errors(ask, r):
 
 def test_time_sums_are_refused(agg):
     assert "error" in agg("gaps", "sum d")
+
+
+@pytest.mark.parametrize("limit, n", [(None, 120_000), (0, 120_000), ("all", 120_000), (7, 7)])
+def test_groups_are_whole(spark, limit, n):
+    table = adapt(spark.range(240_000).selectExpr("id % 120000 AS g"), "many")
+    found = aggregate(table, [{"fn": "count", "alias": "n"}], "g", having=[{"field": "n", "op": "gte", "value": 2}], limit=limit)
+    assert found.count() == n and found.first()["g"] == 0
+
+
+def test_responses_hold_all_groups_or_fail(spark, engine):
+    small = Engine(spark, engine.catalog.files.root, response_rows=3)
+    r = {"mode": "aggregate", "dir": "t", "object": "jobs", "aggregates": [{"fn": "count"}], "group_by": "status,region"}
+    assert "more than 3 groups" in small.request(r)["error"] and "more than 3 groups" in small.request(r | {"format": "csv"})["error"]
+    assert len(small.request(r | {"limit": 3})) == 3 and small.frame(r).count() == 4
