@@ -21,6 +21,7 @@ from .plans.types import RequestError
 from .sources import formats
 from .sources.blobs import Blobs
 from .sources.catalog import Catalog
+from .walks import Walks
 
 
 class Timeout(RequestError):
@@ -43,6 +44,7 @@ class Engine:
         self.spark, self.catalog = spark, Catalog(spark, root)
         self.access, self.guarded = Access(self.catalog.files), guarded
         self.writer, self.schemas, self.blobs = Writer(self.catalog), SchemaOps(self.catalog), Blobs(self.catalog)
+        self.walks = Walks()
         self.started, self.served, self.slow = time.time(), Counter(), []
 
     # plans
@@ -147,13 +149,18 @@ class Engine:
         return formats.render(self.frame(r), "key", form, r.get("delimiter"))
 
     def _cursor(self, r: dict) -> dict:
-        n = Q.page_size(r.get("limit"))
-        rows = self.frame(r | {"limit": n + 1}).collect()
-        more, rows = len(rows) > n, rows[:n]
+        meta = self.catalog.meta(r["dir"], r["object"])  # read before the plan is made: a write in between ends the walk
+        walk = self.walks.take(r, meta)
+        # a stream's jobs can't be stopped by a later request's timer
+        rows, more = walk.page(Q.page_size(r.get("limit")), lambda n: self.frame(r | {"limit": n}), not r.get("timeout_ms"))
         by = r["order_by"]
         wanted = Q.names(r.get("fields"))
         shown = [{"key": x["key"], "value": {k: v for k, v in formats.record(x, "key").items() if wanted is None or k in wanted}} for x in rows]
-        return {"rows": shown, "cursor": {by: formats.plain(rows[-1][by]), "key": rows[-1]["key"]} if more else None}
+        if not more:
+            return {"rows": shown, "cursor": None}
+        cursor = {by: formats.plain(rows[-1][by]), "key": rows[-1]["key"]}
+        self.walks.put(r, meta, cursor, walk)
+        return {"rows": shown, "cursor": cursor}
 
     def _count(self, r: dict) -> int:
         if not r.get("criteria"):

@@ -14,15 +14,15 @@ from pyspark.sql import SparkSession
 class Storage:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._jvm = spark._jvm
-        path = self._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        # classes are looked up once: each part of a name is a call to the JVM
+        self._path, self._io = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.commons.io.IOUtils
+        self._fs = self._at(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
 
     def _at(self, path: str):
-        return self._jvm.org.apache.hadoop.fs.Path(path)
+        return self._path(path)
 
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._at(path))
@@ -30,7 +30,7 @@ class Storage:
     def read(self, path: str) -> bytes:
         stream = self._fs.open(self._at(path))
         try:
-            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            return bytes(self._io.toByteArray(stream))
         finally:
             stream.close()
 
